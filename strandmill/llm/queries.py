@@ -6,13 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, mixing
 from .near_dedup import near_duplicates
 
+PROBE = "<|im_end|><|im_start|>assistant ok"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, weights=(5, 2, 1), epochs=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], turns.schema)
+    return chat.digests(chat.format_chats(turns.union(probe)))
+
+
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return near_duplicates(docs, width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
@@ -20,9 +34,11 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_mix_sources": op3_mix_sources,
+        "op6_chat_format": op6_chat_format,
         "op9_circulant_minhash": op9_circulant_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mix_sources": mixing.SQL, "op6_chat_format": chat.SQL}
