@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing
+from . import chat, mixing, toxicity
 from .near_dedup import near_duplicates
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -27,6 +27,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.union(probe)))
 
 
+def op8_toxicity_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return near_duplicates(docs, width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
@@ -36,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mix_sources": op3_mix_sources,
         "op6_chat_format": op6_chat_format,
+        "op8_toxicity_nbsvm": op8_toxicity_nbsvm,
         "op9_circulant_minhash": op9_circulant_minhash,
     }
 
