@@ -170,7 +170,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wi
                 keep = [(node, s.tobytes()) for node, s in zip(nodes[i:j], sets) if len(s) and set_hash(s) == node]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.int64()), pa.array([v for _, v in keep], pa.binary())], names=["node", "members"])
 
-    rows = _source(docs, id_col, text_col).join(wanted, "row_key").select("node", "text")
+    rows = _source(docs, id_col, text_col).join(wanted.hint("merge"), "row_key").select("node", "text")
     return rows.mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
 
 
@@ -251,11 +251,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = signed.where("node is not null").select("node", F.col("n_shingles").alias("n"), "sketch")
     nodes = stored(nodes.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
 
+    sets = stored(full_sets(docs, nodes.select("node").join(classes, "node"), id_col, text_col, width), "sets")
+
     def verify(candidates: DataFrame) -> DataFrame:
-        candidates = stored(candidates, "candidates")
-        ends = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct()
-        wanted = stored(ends.join(classes, "node"), "wanted")
-        sets = stored(full_sets(docs, wanted, id_col, text_col, width), "sets")
         return stored(confirmed(candidates, sets, percent), "confirmed")
 
     stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
