@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, toxicity
+from . import chat, media, mixing, quality, secrets, toxicity
 from .near_dedup import near_duplicates
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -16,11 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.train(docs, labels))
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, weights=(5, 2, 1), epochs=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], turns.schema)
@@ -39,7 +52,10 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_trees": op1_quality_trees,
+        "op2_media_columns": op2_media_columns,
         "op3_mix_sources": op3_mix_sources,
+        "op4_secret_ownership": op4_secret_ownership,
         "op6_chat_format": op6_chat_format,
         "op8_toxicity_nbsvm": op8_toxicity_nbsvm,
         "op9_circulant_minhash": op9_circulant_minhash,
