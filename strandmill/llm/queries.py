@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, mixing, quality, secrets, toxicity
+from . import chat, decontaminate, media, mixing, pii, quality, secrets, toxicity
 from .near_dedup import near_duplicates
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -34,12 +34,20 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], turns.schema)
     return chat.digests(chat.format_chats(turns.union(probe)))
 
 
+def op7_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.train(docs, labels))
@@ -56,7 +64,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media_columns": op2_media_columns,
         "op3_mix_sources": op3_mix_sources,
         "op4_secret_ownership": op4_secret_ownership,
+        "op5_pii_weak_supervision": op5_pii_weak_supervision,
         "op6_chat_format": op6_chat_format,
+        "op7_decontaminate_cgk": op7_decontaminate_cgk,
         "op8_toxicity_nbsvm": op8_toxicity_nbsvm,
         "op9_circulant_minhash": op9_circulant_minhash,
     }

@@ -19,6 +19,9 @@ _WINDOW = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Also separates at ASCII punctuation: words of letters, digits and non-ASCII bytes only.
+PUNCTUATION = _SPACE.copy()
+PUNCTUATION[[c for c in range(128) if not chr(c).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CODE = (_LOWER.astype(np.uint64) + U64(1)) * U64(0xD6E8FEB86659FD93)
@@ -70,12 +73,12 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first): byte bounds of every word, and for each text the index of its first word (n+1 entries)."""
     if len(buf) == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    space = _SPACE[buf]
+    space = gaps[buf]
     edge = np.zeros(len(buf) + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty(len(buf), dtype=bool)
