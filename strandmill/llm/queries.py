@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, media, mixing, pii, quality, secrets, toxicity
+from . import chat, decontaminate, language_model, media, mixing, pii, quality, secrets, toxicity
 from .near_dedup import near_duplicates
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -58,6 +58,10 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_trees": op1_quality_trees,
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontaminate_cgk": op7_decontaminate_cgk,
         "op8_toxicity_nbsvm": op8_toxicity_nbsvm,
         "op9_circulant_minhash": op9_circulant_minhash,
+        "op10_deleted_interpolation": op10_deleted_interpolation,
     }
 
 
