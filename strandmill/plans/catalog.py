@@ -31,3 +31,6 @@ def oracle_sql() -> dict[str, str]:
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["k_dereplicate"](spark, sf_dir)
+
+
+from . import sequence_queries  # noqa: E402,F401  registers
