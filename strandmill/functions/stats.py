@@ -119,16 +119,20 @@ def log_depth_distance(a: list[tuple[list[float], int]], b: list[tuple[list[floa
         return None
     long, short = (a, b) if len(a) >= len(b) else (b, a)
 
-    def quartiles(sample: list[tuple[list[float], int]], level: int) -> np.ndarray:
-        rows = sorted((math.log(d[level] + pseudocount), w) for d, w in sample)
-        run = np.cumsum([w for _, w in rows])
-        return np.array([rows[int(np.searchsorted(run, q * run[-1]))][0] for q in (0.25, 0.5, 0.75)])
+    def quartiles(sample: list[tuple[list[float], int]], level: int) -> list[float]:
+        rows = sorted((d[level], w) for d, w in sample)
+        total, run, out = sum(w for _, w in rows), 0, []
+        for depth, w in rows:
+            run += w
+            while len(out) < 3 and run >= (len(out) + 1) * 0.25 * total:
+                out.append(math.log(depth + pseudocount))
+        return out
 
     low = math.log(least_depth + pseudocount)
     gaps = []
     for level in range(3):
         x, y = quartiles(long, level), quartiles(short, level)
         if level == 0 or x[1] >= low or y[1] >= low:
-            outer = np.log(x + pseudocount) - np.log(y + pseudocount)
-            gaps.append(abs(x[1] - y[1]) + abs(outer[2] - outer[0]))
-    return 3.0 * float(min(gaps))
+            upper, lower = (math.log((x[q] + pseudocount) / (y[q] + pseudocount)) for q in (2, 0))
+            gaps.append(abs(x[1] - y[1]) + abs(upper - lower))
+    return 3.0 * min(gaps)

@@ -70,7 +70,7 @@ def c_windows(spark, d):
 @register("c_consensus")
 def c_consensus(spark, d):
     """Consensus of the stretches of documents that chain to each benchmark item."""
-    found = C.chain_pairs(shared_anchors(spark, d), match=11, least_score=100).where("chain = 0 AND NOT reverse")
+    found = C.chain_pairs(shared_anchors(spark, d), match=11, least_score=20).where("chain = 0 AND NOT reverse")
     pieces = found.join(reads(spark, d).toDF("query", "seq"), "query")
     piece = F.substring("seq", F.col("start1") + 1, F.col("end1") - F.col("start1") + 15)
     rows = pieces.select(F.col("ref").alias("contig"), F.lit(0).alias("window"), piece.alias("seq"), F.col("score").cast("double").alias("quality"))
@@ -83,7 +83,7 @@ def order_graph(spark, d):
     line = Window.partitionBy("comp").orderBy("k")
     steps = o.withColumn("n1", F.lead("k").over(line)).withColumn("n2", F.lead("k", 2).over(line))
     each = steps.select("comp", "k", "p", F.explode(F.array(F.struct(F.col("n1").alias("to"), F.lit(0).alias("skip")), F.when(F.col("p") % 3 == 0, F.struct(F.col("n2").alias("to"), F.lit(1).alias("skip"))))).alias("e")).where("e.to IS NOT NULL")
-    return each.select("comp", (F.col("k") * 2 + F.col("e.skip")).alias("edge_id"), F.col("k").alias("node1"), F.col("e.to").alias("node2"), (500 + F.col("p") % 1500).alias("overlap"), (F.col("p") % 3).alias("diff"), (10 + F.col("p") % 90).alias("minimizers"))
+    return each.select("comp", (F.col("k") * 2 + F.col("e.skip")).alias("edge_id"), F.col("k").alias("node1"), F.col("e.to").alias("node2"), (500 + F.col("p") * (1 + F.col("e.skip")) % 1500).alias("overlap"), ((F.col("p") + F.col("e.skip")) % 3).alias("diff"), (10 + F.col("p") % 90).alias("minimizers"))
 
 
 def as_graph(rows: pd.DataFrame) -> Graph:
@@ -145,8 +145,8 @@ def f_open_frames(spark, d):
     return reads(spark, d).mapInPandas(run, "id long, frame int, first int, last int")
 
 
-@register("x_graph_node_degrees_by_component")
-def x_graph(spark, d):
+@register("g_component_sizes")
+def g_component_sizes(spark, d):
     e = order_graph(spark, d)
     label = G.components(e.select("node1", "node2"))
     return label.groupBy("component").agg(F.count("*").alias("nodes"))
