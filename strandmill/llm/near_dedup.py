@@ -202,23 +202,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def tiled(members: DataFrame, percent: int) -> DataFrame:
     """Pairs across components of unresolved buckets that sketches do not rule out.
 
-    ``members``: (bucket, node, comp, main, n, sketch).  Members outside the
-    bucket's main component meet the bucket's other members in tiles of about
-    TILE x TILE, so neither a task's memory nor an output row count follows the
-    size of a bucket.
+    ``members``: (bucket, node, comp, main, n, sketch, codes).  Members outside
+    the bucket's main component meet the bucket's other members in tiles of
+    about TILE x TILE, so a task's memory does not follow the size of a bucket.
+    ``codes`` are the node's band keys, shortened: a pair is looked at only in
+    the first band that it shares.  (Any bucket with both is unresolved, so none
+    is passed over.)
     """
+    columns = ("node", "comp", "n", "sketch", "codes")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if(F.expr("comp <> main")).alias("out"))
     sizes = sizes.select("bucket", F.ceil(F.col("all") / TILE).cast("int").alias("cols"), F.ceil(F.col("out") / TILE).cast("int").alias("lines"))
     sized = members.join(sizes, "bucket").withColumn("spot", F.pmod(F.xxhash64("node"), F.lit(1 << 30)))
-    left = sized.where("comp <> main").select("bucket", F.pmod("spot", "lines").alias("line"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), F.lit(True).alias("outer"), "node", "comp", "n", "sketch")
-    right = sized.select("bucket", F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"), F.pmod("spot", "cols").alias("col"), F.lit(False).alias("outer"), "node", "comp", "n", "sketch")
-    rows = left.select("bucket", F.col("line").cast("int"), F.col("col").cast("int"), "outer", "node", "comp", "n", "sketch").union(
-        right.select("bucket", F.col("line").cast("int"), F.col("col").cast("int"), "outer", "node", "comp", "n", "sketch")
+    left = sized.where("comp <> main").select("bucket", F.pmod("spot", "lines").alias("line"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), F.lit(True).alias("outer"), *columns)
+    right = sized.select("bucket", F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"), F.pmod("spot", "cols").alias("col"), F.lit(False).alias("outer"), *columns)
+    rows = left.select("bucket", F.col("line").cast("int"), F.col("col").cast("int"), "outer", *columns).union(
+        right.select("bucket", F.col("line").cast("int"), F.col("col").cast("int"), "outer", *columns)
     )
 
     def run(table: pa.Table) -> pa.Table:
         node, comp, n = (table.column(c).to_numpy() for c in ("node", "comp", "n"))
         outer, raw = table.column("outer").to_numpy(), table.column("sketch").to_pylist()
+        codes = np.array(table.column("codes").to_pylist(), np.int32)
+        bucket = np.int64(table.column("bucket")[0].as_py())
         found: list[tuple[int, int]] = []
         inner = np.flatnonzero(~outer)
         by_cells = {c: np.array([i for i in inner if len(raw[i]) == c]) for c in {len(raw[i]) for i in inner}}
@@ -227,6 +232,8 @@ def tiled(members: DataFrame, percent: int) -> DataFrame:
             own = np.frombuffer(raw[i], np.uint8)
             for c, rows in by_cells.items():
                 ok = (comp[rows] != comp[i]) & (100 * np.minimum(n[rows], n[i]) >= percent * np.maximum(n[rows], n[i]))
+                shared = codes[rows] == codes[i]
+                ok &= codes[i][shared.argmax(axis=1)] == bucket >> 32
                 if not ok.any():
                     continue
                 cells = min(c, len(own))
@@ -248,7 +255,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = signed.where("node is not null").select("node", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub <> far").select("bucket", "hub")
     members = stored(spread.join(shared, "bucket").select("bucket", "node", "hub").distinct(), "members")
-    nodes = signed.where("node is not null").select("node", F.col("n_shingles").alias("n"), "sketch")
+    codes = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int"))
+    nodes = signed.where("node is not null").select("node", F.col("n_shingles").alias("n"), "sketch", codes.alias("codes"))
     nodes = stored(nodes.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
 
     sets = stored(full_sets(docs, nodes.select("node").join(classes, "node"), id_col, text_col, width), "sets")
@@ -263,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(label, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
     counts = placed.groupBy("bucket", "comp").count()
     mains = counts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("count", "comp")).alias("main")).where("parts > 1")
-    left = placed.join(mains.select("bucket", "main"), "bucket").join(nodes, "node").select("bucket", "node", "comp", "main", "n", "sketch")
+    left = placed.join(mains.select("bucket", "main"), "bucket").join(nodes, "node").select("bucket", "node", "comp", "main", "n", "sketch", "codes")
     rest = stored(tiled(left, percent), "rest")
     if rest.limit(1).count():
         found = found.union(verify(rest))
