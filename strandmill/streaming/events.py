@@ -14,13 +14,13 @@ def event_stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(window, event_type, events, value): tumbling windows; events later than ``late`` are left out."""
-    stamped = events.withWatermark("ts", late)
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return stamped.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("value"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """(session, user_id, events): runs of a user's events with no longer pause than ``gap``."""
-    stamped = events.withWatermark("ts", late)
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return stamped.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("events"))
 
 
