@@ -110,14 +110,16 @@ def breakpoints(intervals: DataFrame, bounds: DataFrame, keys: list[str], hifi:
     seg = seg.withColumn("at", F.row_number().over(along)).withColumn("n", F.count("*").over(every)).where("n >= 3")
     seg = seg.withColumn("before", F.lag("depth").over(along)).withColumn("after", F.lead("depth").over(along))
     snap = lambda c: (F.floor(c / 5) * 5).cast("long")
-    points = seg.select(*keys, F.explode(F.array(snap(F.col("start") - fuzz), snap(F.col("start") + fuzz), F.col("stop") + fuzz - 1, F.col("start") - fuzz)).alias("pos")).where("pos >= 0")
-    depths = depth_at_points(intervals, points, keys)
-    look = lambda df, at, name: df.withColumn("pos", at).join(depths, [*keys, "pos"], "left").withColumn(name, F.coalesce("_d", F.lit(0))).drop("pos", "_d")
-    depths = depths.withColumnRenamed("depth", "_d")
-    seg = look(seg, snap(F.col("start") - fuzz), "left200")
-    seg = look(seg, snap(F.col("start") + fuzz), "right200")
-    seg = look(seg, F.col("stop") + fuzz - 1, "past_stop")
-    seg = look(seg, F.col("start") - fuzz, "before_start")
+    looks = {"left200": snap(F.col("start") - fuzz), "right200": snap(F.col("start") + fuzz), "past_stop": F.col("stop") + fuzz - 1, "before_start": F.col("start") - fuzz}
+    # Each segment asks for four depths; one sweep answers all of them.
+    own = F.struct(*[c for c in seg.columns if c not in keys])
+    asked = seg.select(*keys, own.alias("s"), F.explode(F.array(*[F.struct(F.lit(name).alias("name"), pos.alias("pos")) for name, pos in looks.items()])).alias("q"))
+    asked = asked.select(*keys, F.col("q.pos").alias("pos"), F.lit(0).cast("long").alias("step"), F.lit(1).alias("is_point"), "s", F.col("q.name").alias("name"))
+    nothing = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("s", "name")]
+    moves = endpoints(intervals, keys).select(*keys, "pos", "step", F.lit(0).alias("is_point"), *nothing)
+    sweep = Window.partitionBy(*keys).orderBy("pos", "is_point").rowsBetween(Window.unboundedPreceding, 0)
+    swept = moves.union(asked).withColumn("_depth", F.sum("step").over(sweep)).where("is_point = 1")
+    seg = swept.groupBy(*keys, "s").agg(*[F.max(F.when(F.col("name") == name, F.col("_depth"))).alias(name) for name in looks]).select(*keys, "s.*", *looks)
     d, b, a = F.col("depth"), F.col("before"), F.col("after")
     wide = (F.col("start") > fuzz) & (F.col("stop") + fuzz < F.col("length"))
     l2, r2 = F.col("left200"), F.col("right200")
