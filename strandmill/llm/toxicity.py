@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
-from .shared import crc_mod
-from .text_arrays import U64, slices, text_buffer
+from .shared import crc_mod, stored
+from .text_arrays import U64, text_buffer
 
 BITS = 18
 ORDERS = (4, 5, 6)
 SAMPLE = 6000
 THRESHOLD = 0.7
+#: N-grams in fewer sampled texts, or with a smaller absolute log ratio, weigh nothing.
+LEAST_DOCS, LEAST_RATIO = 5, 1.0
 PIECE = 1 << 18
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -77,35 +79,37 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.intercept + self.weights[ids].sum(dtype=np.float64), -40, 40))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, least_docs: int = 5, least_ratio: float = 1.0, decay: float = 1e-3, steps: int = 200) -> Model:
-    """Logistic regression on log-count-ratio-scaled presence features.
+def informative(toxic: np.ndarray, other: np.ndarray, positive: int, negative: int, least_docs: int = LEAST_DOCS, least_ratio: float = LEAST_RATIO) -> tuple[np.ndarray, np.ndarray]:
+    """(log-count ratios, which to use) from document frequencies among toxic and other texts."""
+    ratio = np.log((toxic + 1) / (positive + 2)) - np.log((other + 1) / (negative + 2))
+    return ratio, (toxic + other >= least_docs) & (np.abs(ratio) >= least_ratio)
 
-    N-grams seen in fewer than ``least_docs`` texts, or with an absolute log
-    ratio under ``least_ratio``, have weight 0.  Full-batch accelerated
-    gradient, then one scale and shift of the margin (Platt) for the probability.
+
+def constant(labels: np.ndarray) -> Model:
+    share = min(max(float(labels.mean()) if len(labels) else 0.5, 1e-6), 1 - 1e-6)
+    return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, ratio: np.ndarray, decay: float = 1e-3, steps: int = 200) -> Model:
+    """Logistic regression on presence features ``rows`` (indices into ``ids``) scaled by ``ratio``.
+
+    Full-batch accelerated gradient, then one scale and shift of the margin
+    (Platt) for the probability.
     """
     n, positive = len(labels), int(labels.sum())
-    size = 1 << BITS
-    if n == 0 or positive in (0, n):
-        share = min(max(positive / n if n else 0.5, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    counts = np.zeros((2, size))
-    for ids, label in zip(rows, labels):
-        counts[label, ids] += 1
-    ratio = np.log((counts[1] + 1) / (positive + 2)) - np.log((counts[0] + 1) / (n - positive + 2))
-    used = (counts.sum(axis=0) >= least_docs) & (np.abs(ratio) >= least_ratio)
-    dense = np.cumsum(used) - 1
-    kept = [dense[ids[used[ids]]] for ids in rows]
-    width = max(int(used.sum()), 1)
-    cols = np.concatenate(kept)
-    owner = np.repeat(np.arange(n), [len(k) for k in kept])
-    values = ratio[used][cols] if len(cols) else np.zeros(0)
+    if positive in (0, n):
+        return constant(labels)
+    width = max(len(ids), 1)
+    cols = np.concatenate(rows).astype(np.int64)
+    owner = np.repeat(np.arange(n), [len(k) for k in rows])
+    values = ratio[cols] if len(cols) else np.zeros(0)
 
     def margins(w: np.ndarray) -> np.ndarray:
         return np.bincount(owner, weights=values * w[cols], minlength=n)
 
     # The largest eigenvalue of the Gram matrix bounds the step.
     probe = np.ones(width)
+    top = 1.0
     for _ in range(8):
         probe = np.bincount(cols, weights=values * margins(probe)[owner], minlength=width)
         top = float(np.linalg.norm(probe)) or 1.0
@@ -128,8 +132,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, least_docs: int = 5, least_r
         step = np.linalg.solve(hess, np.array([(gap * z).sum(), gap.sum()]))
         step *= min(1.0, 1.0 / max(np.abs(step).max(), 1e-12))
         a, c = a - step[0], c - step[1]
-    weights = np.zeros(size)
-    weights[used] = a * w * ratio[used] if width == int(used.sum()) else 0.0
+    weights = np.zeros(1 << BITS)
+    weights[ids] = (a * w * ratio)[: len(ids)] if len(ids) else 0.0
     return Model(weights.astype(np.float32), float(a * b + c))
 
 
@@ -138,17 +142,44 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on a bounded sample of ``sample`` labelled rows outside the held-out fold; its features reach the driver packed."""
+    """Fit on a bounded sample of ``sample`` labelled rows outside the held-out fold.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Document frequencies are summed in the cluster; the driver gets the used
+    n-grams and, for each sampled row, which of them it holds.
+    """
+    rows = stored(labelled_sample(docs, labels, label_col, sample, id_col, text_col), "sample")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            for ids, label in zip(features(batch.column("text")), batch.column("label").to_pylist()):
+                found[label, ids] += 1
+        some = np.flatnonzero(found.any(axis=0))
+        for at in range(0, len(some), 1 << 16):
+            part = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(found[1, part]), pa.array(found[0, part])], names=["id", "toxic", "other"])
+
+    sizes = rows.agg(F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative")).first()
+    positive, negative = sizes["positive"], sizes["negative"]
+    if not positive or not negative:
+        return constant(np.repeat([1.0, 0.0], [positive, negative]))
+    counts = rows.mapInArrow(count, "id int, toxic long, other long").groupBy("id").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where(F.col("toxic") + F.col("other") >= LEAST_DOCS)
+    # At most 2^BITS rows.
+    table = counts.toArrow().sort_by("id")
+    ids, toxic, other = (table.column(c).to_numpy() for c in ("id", "toxic", "other"))
+    ratio, used = informative(toxic, other, positive, negative)
+    ids, ratio = ids[used].astype(np.int64), ratio[used]
+    place = np.full(1 << BITS, -1, np.int32)
+    place[ids] = np.arange(len(ids))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [x.astype(np.int32).tobytes() for x in features(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(packed, pa.binary())], names=["label", "ids"])
+            packed = [(at := place[x])[at >= 0].tobytes() for x in features(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(packed, pa.binary())], names=["label", "held"])
 
-    rows = labelled_sample(docs, labels, label_col, sample, id_col, text_col).mapInArrow(run, "label int, ids binary")
-    table = rows.toArrow()
-    ids = [np.frombuffer(x.as_buffer(), np.int32) for x in table.column("ids")]
-    return fit(ids, table.column("label").to_numpy().astype(np.int64))
+    held = rows.mapInArrow(pick, "label int, held binary").toArrow()
+    lists = [np.frombuffer(x.as_buffer(), np.int32) for x in held.column("held")]
+    return fit(lists, held.column("label").to_numpy().astype(np.int64), ids, ratio)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
