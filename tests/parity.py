@@ -6,9 +6,9 @@ import pandas as pd
 
 
 def cell(v) -> str:
-    if v is None or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return "NULL"
-    return f"{v:.9g}" if isinstance(v, float) else str(v)
+    return f"{v:.9g}" if isinstance(v, (float, int)) and not isinstance(v, bool) else str(v)
 
 
 def normal(df: pd.DataFrame) -> list[tuple]:
