@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .shared import crc_mod, stored
 from .text_arrays import U64, fold, slices, text_buffer, word_hashes, words
 
-CHUNK_BYTES = 8 << 20
-RANGE_KEYS = 4 << 20
+CHUNK_BYTES = 4 << 20
+RANGE_KEYS = 2 << 20
 #: Share of the training texts whose counts teach the mixture weights: one in DELETED.
 DELETED = 10
 #: Buckets of context counts: 0, 1, 2-3, 4-7, ... in powers of two.
@@ -148,8 +148,20 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, folds: int, test_fold:
 def grams(texts: bytes) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
     """(keys, place, n, first): the distinct n-grams of a chunk, where each of the n tokens and n bigrams is among them, and the first token of each text."""
     one, two, first = tokens(unpack_texts(texts))
-    keys, place = np.unique(np.concatenate([one, two]), return_inverse=True)
-    return keys, place, len(one), first
+    n = len(one)
+    place = np.empty(2 * n, np.int32)
+    parts = []
+    for at, values in ((0, one), (n, two)):
+        kinds, spot = np.unique(values, return_inverse=True)
+        place[at : at + n] = spot
+        parts.append(kinds)
+    del one, two, values, spot
+    keys = np.concatenate(parts)
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    for at, kinds in zip((0, n), parts):
+        place[at : at + n] = np.searchsorted(keys, kinds).astype(np.int32)[place[at : at + n]]
+    return keys, place, n, first
 
 
 def exchange(chunks: DataFrame, ranges: int) -> DataFrame:
@@ -266,7 +278,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         for batch in batches:
             for one, two, first, part, ids, no_id in opened(batch):
                 bucket, bigram, unigram = estimates(one, two, first, starts, known)
-                mixed = np.log10(weights[bucket, 0] * bigram + weights[bucket, 1] * unigram + weights[bucket, 2] / (types + 1))
+                bigram *= weights[:, 0][bucket]
+                unigram *= weights[:, 1][bucket]
+                bigram += unigram
+                bigram += (weights[:, 2] / (types + 1))[bucket]
+                mixed = np.log10(bigram, out=bigram)
                 plain = np.log10((one + 1) / (known + types + 1))
                 at = first[:-1]
                 doc = pa.array(np.frombuffer(ids, "<i8"), pa.int64(), mask=np.frombuffer(no_id, np.uint8).astype(bool))
