@@ -38,10 +38,13 @@ def pair_ani(anchors: DataFrame, seeds: DataFrame, k: int, fragment: int = 20_00
     left out, the kept ones are cut into fragments, and a fragment's identity is
     (anchors / query seeds under it)^(1/k); identities are averaged by seeds
     between the 10th and 90th percentile.  ``seeds`` is (id, n, length).  Pairs
-    that align less than ``min_fraction`` of both have ani -1.
+    that align less than ``min_fraction`` of both have ani -1; pairs with fewer
+    than ``least_anchors`` anchors have no row.
     """
     kinds = dict(anchors.dtypes)
-    sized = anchors.join(seeds.toDF("query", "n1", "len1"), "query").join(seeds.toDF("ref", "n2", "len2"), "ref")
+    pair = Window.partitionBy("query", "ref")
+    enough = anchors.withColumn("_n", F.count("*").over(pair)).where(F.col("_n") >= least_anchors).drop("_n")
+    sized = enough.join(seeds.toDF("query", "n1", "len1"), "query").join(seeds.toDF("ref", "n2", "len2"), "ref")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         p1, p2 = rows["pos1"].to_numpy(), rows["pos2"].to_numpy()

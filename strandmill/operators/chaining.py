@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -90,20 +92,26 @@ def select_chains(found: list[tuple[int, np.ndarray, bool]], pos1: np.ndarray, p
 def chain_pairs(anchors: DataFrame, match: int, least_score: int = 0, **options) -> DataFrame:
     """(query, ref, chain, score, anchors, start1, end1, start2, end2, reverse) of selected chains of every pair."""
     kinds = dict(anchors.dtypes)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        p1, p2, same = rows["pos1"].to_numpy(), rows["pos2"].to_numpy(), rows["same_strand"].to_numpy().astype(bool)
-        band = options.get("band", min(20 * int(rows["many"].max()), 2000)) if "many" in rows else options.get("band", 20)
-        found = chains(p1, p2, same, match=match, **(options | {"band": band}))
-        out = []
-        for i in select_chains(found, p1, p2):
-            score, c, reverse = found[i]
-            if score >= least_score:
-                out.append((rows["query"].iloc[0], rows["ref"].iloc[0], len(out), score, len(c), p1[c].min(), p1[c].max(), p2[c].min(), p2[c].max(), reverse))
-        return pd.DataFrame(out, columns=["query", "ref", "chain", "score", "anchors", "start1", "end1", "start2", "end2", "reverse"])
+    columns = [c for c in ("query", "ref", "pos1", "pos2", "same_strand", "many") if c in anchors.columns]
+    # Pairs with fewer anchors than a chain needs never leave the JVM; the count shares the grouping's shuffle.
+    pair = Window.partitionBy("query", "ref")
+    enough = anchors.select(*columns, F.count("*").over(pair).alias("_n")).where(F.col("_n") >= options.get("least", 3)).drop("_n")
+    names = ["query", "ref", "chain", "score", "anchors", "start1", "end1", "start2", "end2", "reverse"]
+
+    def run(rows: pa.Table) -> pa.Table:
+        p1, p2, same = (rows.column(c).to_numpy() for c in ("pos1", "pos2", "same_strand"))
+        band = options.get("band", min(20 * int(pc.max(rows.column("many")).as_py()), 2000) if "many" in columns else 20)
+        found = chains(p1, p2, same.astype(bool), match=match, **(options | {"band": band}))
+        kept = [found[i] for i in select_chains(found, p1, p2) if found[i][0] >= least_score]
+        n = len(kept)
+        spans = [(int(p1[c].min()), int(p1[c].max()), int(p2[c].min()), int(p2[c].max())) for _, c, _ in kept]
+        ends = [pa.array([s[i] for s in spans], pa.int32()) for i in range(4)]
+        first = [pa.array([rows.column(c)[0].as_py()] * n, rows.schema.field(c).type) for c in ("query", "ref")]
+        data = [*first, pa.array(range(n), pa.int32()), pa.array([s for s, _, _ in kept], pa.int32()), pa.array([len(c) for _, c, _ in kept], pa.int32()), *ends, pa.array([r for _, _, r in kept], pa.bool_())]
+        return pa.table(data, names=names)
 
     schema = f"query {kinds['query']}, ref {kinds['ref']}, chain int, score int, anchors int, start1 int, end1 int, start2 int, end2 int, reverse boolean"
-    return anchors.groupBy("query", "ref").applyInPandas(run, schema)
+    return enough.groupBy("query", "ref").applyInArrow(run, schema)
 
 
 def dovetails(overlaps: DataFrame, hang: Column, least: int = 500) -> DataFrame:
