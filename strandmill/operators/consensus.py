@@ -76,6 +76,69 @@ def align(query: str, ref: str, band: int | None = None, local: bool = False) ->
     return score, cigar, (i, end[0], j, end[1])
 
 
+def merged(*cigars: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """CIGARs one after the other, equal neighbours joined."""
+    out: list[tuple[str, int]] = []
+    for op, n in (x for c in cigars for x in c if x[1]):
+        out = [*out[:-1], (op, out[-1][1] + n)] if out and out[-1][0] == op else [*out, (op, n)]
+    return out
+
+
+def extend_end(query: str, ref: str, drop: int = 100) -> tuple[int, list[tuple[str, int]]]:
+    """(bases of each used, CIGAR) of the best gapless-by-diagonal extension, given up once the score falls ``drop`` under its best."""
+    n = min(len(query), len(ref))
+    if n == 0:
+        return 0, []
+    same = np.frombuffer(query[:n].encode(), np.uint8) == np.frombuffer(ref[:n].encode(), np.uint8)
+    score = np.cumsum(np.where(same, MATCH, MISMATCH))
+    fallen = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > drop)
+    score = score[: fallen[0]] if len(fallen) else score
+    best = int(score.argmax()) + 1 if len(score) and score.max() > 0 else 0
+    return best, [("M", best)] if best else []
+
+
+def align_chain(query: str, ref: str, points: list[tuple[int, int]], k: int) -> tuple[list[tuple[str, int]], tuple[int, int, int, int]]:
+    """(CIGAR, (query start, query end, ref start, ref end)) through colinear seeds (query position, ref position) of length k.
+
+    Seeds that overlap the one before are left out; the stretches between seeds
+    are aligned globally, the ends extended.
+    """
+    kept: list[tuple[int, int]] = []
+    for q, r in sorted(points):
+        if not kept or (q >= kept[-1][0] + k and r >= kept[-1][1] + k):
+            kept.append((q, r))
+    if not kept:
+        return [], (0, 0, 0, 0)
+    (q0, r0), (q1, r1) = kept[0], kept[-1]
+    back, head = extend_end(query[:q0][::-1], ref[:r0][::-1])
+    on, tail = extend_end(query[q1 + k :], ref[r1 + k :])
+    parts = [head]
+    for i, (q, r) in enumerate(kept):
+        parts.append([("M", k)])
+        if i + 1 < len(kept):
+            parts.append(align(query[q + k : kept[i + 1][0]], ref[r + k : kept[i + 1][1]])[1])
+    return merged(*parts, tail), (q0 - back, q1 + k + on, r0 - back, r1 + k + on)
+
+
+def trim_by_coverage(consensus: str, seqs: list[str]) -> str:
+    """The consensus between the median start and the median end of the sequences that align to it."""
+    spans = [s for score, _, s in (align(x, consensus, local=True) for x in seqs) if score >= 10]
+    if not spans:
+        return consensus
+    starts, ends = sorted(s[2] for s in spans), sorted(s[3] for s in spans)
+    return consensus[starts[(len(starts) - 1) // 2] : ends[(len(ends) - 1) // 2]]
+
+
+def join_circle(seq: str, overlap: int, hang_end: int = 0, hang_start: int = 0, slack: int = 50) -> str:
+    """A circle's sequence without the repeat of its start at its end; unchanged if the ends do not align."""
+    reach = min(overlap + hang_end + hang_start + slack, len(seq) // 2)
+    if reach < 10:
+        return seq
+    tail, head = seq[-reach:], seq[:reach]
+    score, _, (a, b, c, d) = align(tail, head, local=True)
+    return seq if score < 10 else seq[c : len(seq) - (len(tail) - a)]
+
+
 def breakpoints(length: int, width: int) -> list[int]:
     """Window ends: width, 2 * width, ... and the contig's end."""
     return [*range(width, length, width), length]
@@ -240,7 +303,8 @@ def window_consensus(seqs: list[str], quals: list[float], draft: str = "", top:
     chosen = [s for s, _ in ranked]
     if any(n >= long_run for _, n in homopolymers(chosen[0])):
         return expand_runs(poa(["".join(c for c, _ in homopolymers(s)) for s in chosen]), chosen)
-    return poa(chosen)
+    found = poa(chosen)
+    return trim_by_coverage(found, chosen) if len(chosen) > 15 else found
 
 
 def join_windows(parts: list[str], overlap: int) -> str:

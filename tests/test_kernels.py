@@ -205,3 +205,61 @@ def test_consensus_recovers_the_truth():
     assert P.expand_runs("ACGT", ["AAACGT", "AAACGT", "AACGT"]) == "AAACGT"
     left, right = truth[:120], truth[80:]
     assert P.join_windows([left, right], 40) == truth
+
+
+def test_alignment_through_seeds():
+    rng = random.Random(6)
+    ref = "".join(rng.choice("ACGT") for _ in range(300))
+    query = ref[20:100] + ref[103:180] + "ACGTT" + ref[180:290]
+    points = [(q, q + 20) for q in range(5, 60, 7)] + [(q, q + 23) for q in range(85, 140, 9)] + [(q, q + 18) for q in range(170, 250, 11)]
+    cigar, (qs, qe, rs, re) = P.align_chain(query, ref, points, 15)
+    used = {op: sum(n for o, n in cigar if o == op) for op in "MID"}
+    assert (qs, rs) == (0, 20) and (qe, re) == (len(query), 290)
+    assert used["M"] + used["I"] == qe - qs and used["M"] + used["D"] == re - rs
+    assert used["I"] - used["D"] == 2
+    assert P.align_chain("ACGT", "ACGT", [], 3) == ([], (0, 0, 0, 0))
+
+
+def test_extension_stops():
+    assert P.extend_end("ACGTACGT", "ACGTACGT") == (8, [("M", 8)])
+    assert P.extend_end("AAAA" + "C" * 300 + "A" * 400, "AAAA" + "G" * 300 + "A" * 400)[0] == 4
+    assert P.extend_end("", "A") == (0, [])
+
+
+def test_circle_keeps_its_repeat_once():
+    rng = random.Random(7)
+    repeat = "".join(rng.choice("ACGT") for _ in range(200))
+    seq = repeat + "G" * 250 + "A" * 250 + "T" * 250 + "C" * 250 + repeat
+    assert len(P.join_circle(seq, len(repeat), 11, 11)) == 1000 + len(repeat)
+    assert P.join_circle("ACGT", 100) == "ACGT"
+
+
+def test_trim_to_median_ends():
+    rng = random.Random(8)
+    truth = "".join(rng.choice("ACGT") for _ in range(150))
+    assert P.trim_by_coverage("T" * 20 + truth, [truth] * 5 + ["T" * 20 + truth]) == truth
+    assert P.trim_by_coverage("ACGT", []) == "ACGT"
+
+
+def test_tips_cycles_and_levels(spark):
+    from strandmill.operators import cleaning as L
+    from strandmill.operators import coverage as V
+
+    rows = [(0, 0, 1, True, False, 100), (1, 1, 2, True, False, 100), (2, 1, 3, True, False, 100)]
+    nodes = spark.createDataFrame([(0, 90_000, 50), (1, 90_000, 50), (2, 90_000, 50), (3, 500, 1)], "node long, length long, reads long")
+    left, edges = L.remove_tips(nodes, edge_table(spark, rows), 1000, 2)
+    assert {r["node"] for r in left.collect()} == {0, 1, 2} and edges.count() == 2
+    two = spark.createDataFrame([(1, 2, 300, 5, 5, 1000, 1000), (1, 2, 400, 1, 1, 1000, 1000), (3, 4, 300, 0, 0, 900, 900)], "read_i long, read_j long, overlap1_len long, hang1 long, hang2 long, len1 long, len2 long")
+    assert [tuple(r) for r in L.two_cycles(two).collect()] == [(1, 2, 1300)]
+    iv = spark.createDataFrame([(1, 0, 100, 1.0), (1, 0, 100, 0.998), (1, 0, 100, 0.991)], "ref int, start int, stop int, identity double")
+    ends = spark.createDataFrame([(1, 100), (2, 100)], "ref int, length int")
+    got = {(r["ref"], r["level"]): r["median_depth"] for r in V.level_depths(iv, ends, ["ref"]).collect()}
+    assert [got[(1, x)] for x in V.LEVELS] == [3, 2, 1] and got[(2, 1.0)] == 0
+
+
+def test_splits(spark):
+    from strandmill.operators import coverage as V
+
+    reads = spark.createDataFrame([("a", "ACGTACGTAC"), ("b", "GGGG")], "id string, seq string")
+    parts = spark.createDataFrame([("a", 0, 0, 4), ("a", 1, 6, 10), ("b", 0, 0, 4)], "id string, part int, start int, stop int")
+    assert {tuple(r) for r in V.apply_splits(reads, parts).collect()} == {("a+split0", "ACGT"), ("a+split1", "GTAC"), ("b", "GGGG")}
