@@ -81,20 +81,27 @@ def pop_bubbles(nodes: DataFrame, edges: DataFrame, longest: int = 50_000, round
     return nodes, edges
 
 
-def walk_and_cut(nodes: DataFrame, edges: DataFrame, ratio: float, longest: int = 300_000, depth: int = 10, temperature: float = 1.0, c: int = 11) -> DataFrame:
-    """Edges whose walk weight is under ``ratio`` of the best on both their sides are cut, lightest first, never a side's last edge."""
+def walk_and_cut(nodes: DataFrame, edges: DataFrame, ratio: float, longest: int = 300_000, depth: int = 10, temperature: float = 1.0, c: int = 11, backing: int = 20_000, spared: DataFrame | None = None) -> DataFrame:
+    """Edges whose walk weight is under ``ratio`` of the best on both their sides are cut, lightest first.
+
+    Never a side's last edge, none whose cut leaves a side leading nowhere within
+    ``backing`` bases, and none in ``spared`` (edge_id), such as strain repeats.
+    """
 
     def kernel(graph: Graph):
         weight = graph.edge_weights(longest, depth, temperature=temperature, c=c)
         cut: set = set()
         for i in sorted(graph.edges, key=lambda e: (weight[e], graph.edges[e].overlap, e)):
             sides = [[r for r in graph.at[key] if r.id not in cut] for key in zip(graph.edges[i].ends, graph.edges[i].sides)]
-            if all(len(s) > 1 and weight[i] < ratio * max(weight[r.id] for r in s) for s in sides):
+            if all(len(s) > 1 and weight[i] < ratio * max(weight[r.id] for r in s) for s in sides) and graph.safe(i, cut, backing):
                 cut.add(i)
         return [(int(e),) for e in sorted(cut)]
 
     sized = nodes.join(G.unique_lengths(nodes, edges), "node")
-    return edges.join(component_kernel(sized, edges, kernel, "edge_id long").select("edge_id"), "edge_id", "left_anti")
+    gone = component_kernel(sized, edges, kernel, "edge_id long").select("edge_id")
+    if spared is not None:
+        gone = gone.join(spared.select("edge_id"), "edge_id", "left_anti")
+    return edges.join(gone, "edge_id", "left_anti")
 
 
 def heavy_clean(nodes: DataFrame, edges: DataFrame, temperatures: tuple[float, ...] = (2.0, 1.5, 1.0, 0.5), ratios: tuple[float, ...] = (0.125, 0.25, 0.5), **options) -> tuple[DataFrame, DataFrame]:

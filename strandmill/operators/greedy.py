@@ -160,6 +160,30 @@ class Graph:
                 total[key] += w
         return {e.id: min(total.get((e.id, n), 0.0) for n in e.ends) for e in self.edges.values()}
 
+    def leads_on(self, node, side: bool, cut: set, far: int, most: int = 25) -> bool:
+        """Whether a node's side still leads on for ``far`` bases, or further than ``most`` steps, without the edges in ``cut``."""
+        reach, frontier, steps = {(node, side): 0}, [(node, side)], 0
+        while frontier:
+            at = frontier.pop(0)
+            for e in self.at[at]:
+                if e.id in cut:
+                    continue
+                other, into = e.across(*at)
+                length = reach[at] + self.unique[other]
+                steps += 1
+                if length >= far or steps >= most or other == node:
+                    return True
+                if (other, not into) not in reach:
+                    reach[(other, not into)] = length
+                    frontier.append((other, not into))
+        return False
+
+    def safe(self, i: int, cut: set, far: int) -> bool:
+        """Whether cutting edge ``i`` makes no tip: both its sides still lead on, or are dead ends even with it."""
+        e = self.edges[i]
+        more = cut | {i}
+        return all(self.leads_on(n, s, more, far) or not self.leads_on(n, s, cut, far) for n, s in zip(e.ends, e.sides))
+
     def lax_cuts(self, same: dict, order: list) -> set:
         """Edges to cut, in ``order``: not of one strain, while both their sides still have an edge that is."""
         cut: set = set()

@@ -263,3 +263,10 @@ def test_splits(spark):
     reads = spark.createDataFrame([("a", "ACGTACGTAC"), ("b", "GGGG")], "id string, seq string")
     parts = spark.createDataFrame([("a", 0, 0, 4), ("a", 1, 6, 10), ("b", 0, 0, 4)], "id string, part int, start int, stop int")
     assert {tuple(r) for r in V.apply_splits(reads, parts).collect()} == {("a+split0", "ACGT"), ("a+split1", "GTAC"), ("b", "GGGG")}
+
+
+def test_safe_cuts_leave_no_tip():
+    line = {i: Edge(i, (i, i + 1), (True, False), 1000) for i in range(5)} | {9: Edge(9, (1, 9), (True, False), 500)}
+    g = Graph(dict.fromkeys([*range(6), 9], 5), dict.fromkeys([*range(6), 9], (5.0,) * 3), dict.fromkeys([*range(6), 9], 1000), line)
+    assert g.leads_on(1, True, set(), 3000) and not g.leads_on(1, True, {1}, 3000)
+    assert g.safe(9, set(), 3000) and not g.safe(1, set(), 3000)
