@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chaining import chains
-from .seeding import marker_screen
 
 
 def markers(reads: DataFrame, k: int, c: int, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
@@ -125,10 +122,3 @@ def best_hits(pairs: DataFrame, n: int) -> DataFrame:
     """The n references of highest identity for each query."""
     order = Window.partitionBy("query").orderBy(F.desc("ani"), "ref")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-
-
-def poisson_identity(k: int, share: float) -> float:
-    return math.exp(math.log(max(share, 1e-12)) / k)
-
-
-screen = marker_screen

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def best_predecessors(x: np.ndarray, y: np.ndarray, match: int, gap: int, band: int, double_gap: int, max_gap: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+def best_predecessors(x: np.ndarray, y: np.ndarray, match: int, gap: int, band: int, double_gap: int, max_gap: int) -> tuple[np.ndarray, np.ndarray]:
     """(score, predecessor) of anchors sorted by x: each continues the best of at most ``band`` earlier anchors within reach.
 
     A continuation adds min(dx, dy, match) and pays ``gap`` for each unit of
@@ -38,7 +38,7 @@ def best_predecessors(x: np.ndarray, y: np.ndarray, match: int, gap: int, band:
     return score, back
 
 
-def chains(pos1: np.ndarray, pos2: np.ndarray, same_strand: np.ndarray, match: int = 10, gap: int = 1, band: int = 20, double_gap: int = 10_000, max_gap: int = 200, skip: int = 10, least: int = 3) -> list[tuple[int, np.ndarray, bool]]:
+def chains(pos1: np.ndarray, pos2: np.ndarray, same_strand: np.ndarray, match: int = 10, gap: int = 1, band: int = 20, double_gap: int = 10_000, max_gap: int = 200, least: int = 3) -> list[tuple[int, np.ndarray, bool]]:
     """[(score, anchor indices in order, reverse)], best first; an anchor belongs to one chain.
 
     Strands are chained apart; on the reverse strand pos2 descends.
@@ -51,7 +51,7 @@ def chains(pos1: np.ndarray, pos2: np.ndarray, same_strand: np.ndarray, match: i
         order = own[np.lexsort((-pos2[own] if reverse else pos2[own], pos1[own]))]
         x = pos1[order].astype(np.int64)
         y = (-pos2[order] if reverse else pos2[order]).astype(np.int64)
-        score, back = best_predecessors(x, y, match, gap, band, double_gap, max_gap, skip)
+        score, back = best_predecessors(x, y, match, gap, band, double_gap, max_gap)
         used = np.zeros(len(x), bool)
         for end in np.lexsort((np.arange(len(x)), -score)):
             if score[end] <= least * match / 2:

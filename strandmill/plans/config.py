@@ -40,7 +40,6 @@ class Config:
     slack: int = 20
     chain_gap: int = 200
     chain_double_gap: int = 10_000
-    chain_skip: int = 10
     chain_min_anchors: int = 3
     min_chain_score: int = 150
     depth_sampling: int = 10

@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from strandmill.operators.consensus import align
 from strandmill.plans import assembly
