@@ -65,16 +65,42 @@ def shared_sites(query: DataFrame, ref: DataFrame) -> DataFrame:
     return joined.groupBy("query", "ref").agg(F.count_if(F.col("a") == F.col("b")).alias("shared"), F.count_if(F.col("a") != F.col("b")).alias("differing"))
 
 
+#: Members of one class of equal sketches that meet all others of it in one task.
+CLASS_TILE = 1000
+
+
+def sketch_classes(markers: DataFrame) -> DataFrame:
+    """(id, rep, n): every id with the smallest id that has the same markers, and how many they are."""
+    sets = markers.groupBy("id").agg(F.sort_array(F.collect_list("marker")).alias("all"))
+    keyed = sets.select("id", F.size("all").cast("long").alias("n"), F.sha2(F.concat_ws(",", F.col("all").cast("array<string>")), 256).alias("key"))
+    return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("rep")), "key").select("id", "rep", "n")
+
+
 def marker_screen(markers: DataFrame, k: int = 21, identity: float = 0.9, most_sketches: int | None = None) -> DataFrame:
     """(ref, query, shared, ref_markers, query_markers) for ref < query: sketch pairs sharing more markers than the identity would leave.
 
     ``markers`` is (id, marker), distinct.  The cutoff is max(identity^k * smaller sketch, 1).
+    No marker is left out.  Ids with equal markers are one class: only classes'
+    smallest ids meet on markers, and their pairs are dealt to all members.
     """
-    sizes = markers.groupBy("id").agg(F.count("*").alias("n"))
-    left, right = markers.toDF("ref", "marker"), markers.toDF("query", "marker")
-    shared = left.join(right, "marker").where("ref < query").groupBy("ref", "query").agg(F.count("*").alias("shared"))
-    sized = shared.join(sizes.toDF("ref", "ref_markers"), "ref").join(sizes.toDF("query", "query_markers"), "query")
-    return sized.where(F.col("shared") > F.greatest(F.least("ref_markers", "query_markers") * F.lit(identity**k), F.lit(1.0)))
+    classes = sketch_classes(markers)
+    enough = lambda df: df.where(F.col("shared") > F.greatest(F.least("ref_markers", "query_markers") * F.lit(identity**k), F.lit(1.0)))
+    heads = classes.where("id = rep").select("id", "n")
+    own = markers.join(heads.select("id"), "id", "left_semi")
+    left, right = own.toDF("one", "marker"), own.toDF("two", "marker")
+    shared = left.join(right, "marker").where("one < two").groupBy("one", "two").agg(F.count("*").alias("shared"))
+    sized = enough(shared.join(heads.toDF("one", "ref_markers"), "one").join(heads.toDF("two", "query_markers"), "two"))
+    members = classes.select("id", "rep")
+    across = sized.join(members.toDF("a", "one"), "one").join(members.toDF("b", "two"), "two")
+    turned = F.col("a") > F.col("b")
+    pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    across = across.select(F.least("a", "b").alias("ref"), F.greatest("a", "b").alias("query"), "shared", pick("ref_markers", "query_markers").alias("ref_markers"), pick("query_markers", "ref_markers").alias("query_markers"))
+    tiles = classes.groupBy("rep").agg(F.ceil(F.count("*") / CLASS_TILE).cast("int").alias("tiles"), F.count("*").alias("size")).where("size > 1").drop("size")
+    dealt = classes.join(tiles, "rep")
+    ref = dealt.select("rep", F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"), F.col("id").alias("ref"), "n")
+    query = dealt.select("rep", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("id").alias("query"))
+    within = ref.join(query, ["rep", "tile"]).where("ref < query").select("ref", "query", F.col("n").alias("shared"), F.col("n").alias("ref_markers"), F.col("n").alias("query_markers"))
+    return across.union(enough(within))
 
 
 def contained(start: Column, end: Column, len1: Column, len2: Column, same: Column, slack: int, c: int) -> Column:

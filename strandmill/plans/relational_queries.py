@@ -198,9 +198,7 @@ MARKERS = f"""{SQL_READS}, {sql_kmers('reads', 'km', 21, True)}, h AS (SELECT DI
 
 
 def screened(spark, d):
-    found = ani.markers(reads(spark, d), 21, 20)
-    index = J.seed_index(found.select("id", F.lit(0).alias("pos"), F.col("marker").alias("kmer"), F.lit(True).alias("forward")), share=1000, least_keys=0)
-    return J.marker_screen(index.select("id", F.col("kmer").alias("marker")))
+    return J.marker_screen(G.checkpointed(ani.markers(reads(spark, d), 21, 20), "markers"))
 
 
 @register("j_triangle", f"WITH {MARKERS} SELECT * FROM scr")

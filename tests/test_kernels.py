@@ -270,3 +270,29 @@ def test_safe_cuts_leave_no_tip():
     g = Graph(dict.fromkeys([*range(6), 9], 5), dict.fromkeys([*range(6), 9], (5.0,) * 3), dict.fromkeys([*range(6), 9], 1000), line)
     assert g.leads_on(1, True, set(), 3000) and not g.leads_on(1, True, {1}, 3000)
     assert g.safe(9, set(), 3000) and not g.safe(1, set(), 3000)
+
+
+def test_marker_screen_keeps_every_marker(spark, tmp_path):
+    """Copies share only markers that many hold; each pair must come out, by count over all markers."""
+    from strandmill.plans import catalog
+
+    R = catalog.relational_queries
+    rng = random.Random(11)
+    base = "".join(rng.choice("ACGT") for _ in range(3000))
+    other = "".join(rng.choice("ACGT") for _ in range(3000))
+    texts = [base] * 12 + [base[:2000] + other[:1000]] * 2 + [other] + ["".join(rng.choice("ACGT") for _ in range(2000)) for _ in range(20)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    held: dict = {}
+    for r in R.ani.markers(R.reads(spark, str(tmp_path)), 21, 20).collect():
+        held.setdefault(r["id"], set()).add(r["marker"])
+    want = set()
+    for a in held:
+        for b in held:
+            both = len(held[a] & held[b])
+            if a < b and both > max(min(len(held[a]), len(held[b])) * 0.9**21, 1):
+                want.add((a, b, both, len(held[a]), len(held[b])))
+    got = R.screened(spark, str(tmp_path)).collect()
+    assert {(0, 1), (10, 11), (0, 12), (12, 13), (12, 14)} <= {w[:2] for w in want}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    kinds = {r["id"]: r["class"] for r in R.k_dereplicate(spark, str(tmp_path)).collect()}
+    assert sum(kinds[i] == "primary" for i in range(12)) == 1
