@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import smallest_reachable
+
 UNSET = "spark.checkpoint.dir"
 
 
@@ -33,27 +35,13 @@ def crc_mod(id_col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 200) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``links``: (node, comp), comp the smallest node reachable.
 
-    Minimum labels spread along links and then jump to their label's label, so
-    the rounds grow with the logarithm of the longest path.  Every round is a
-    written table; nothing is collected but one count.  Nodes without a link
-    are not returned; an empty table gives an empty table.
+    Every round is a written table; nothing is collected but one count.  Rounds
+    go on until no label moves.  Nodes without a link are not returned; an empty
+    table gives an empty table.
     """
     both = links.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src <> dst")
     both = stored(both.union(both.select("dst", "src")).distinct(), "links")
-    labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"))
-    labels = stored(labels.select("node", F.least("node", "low").alias("comp")), "labels")
-    for _ in range(most):
-        near = both.join(labels, both.src == labels.node).groupBy(F.col("dst").alias("node")).agg(F.min("comp").alias("low"))
-        step = labels.join(near, "node", "left").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
-        labels = stored(
-            step.join(jump, "mid", "left").select("node", F.least("mid", "far").alias("comp"), (F.least("mid", "far") != F.col("was")).alias("moved")),
-            "labels",
-        )
-        if not labels.where("moved").limit(1).count():
-            break
-        labels = labels.drop("moved")
-    return labels.select("node", "comp")
+    return smallest_reachable(both, stored).withColumnRenamed("label", "comp")

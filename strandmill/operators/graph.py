@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,29 @@ def degrees(edges: DataFrame) -> DataFrame:
     return half_edges(edges).groupBy("node").agg(F.count_if("side").alias("out_degree"), F.count_if(~F.col("side")).alias("in_degree"))
 
 
+def smallest_reachable(arcs: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(node, label): the smallest node reachable over ``arcs`` (src, dst), a stored table with both directions of every link.
+
+    Each round a node takes the lowest label next to it, its label's node (the
+    root) takes the lowest that any node of the label saw, and both jump to
+    their label's label.  Rounds grow with the logarithm of the longest path in
+    whatever order its nodes are; they end only when no label moves.
+    """
+    labels = arcs.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"))
+    labels = store(labels.select("node", F.least("node", "low").alias("label")), "labels")
+    while True:
+        near = arcs.join(labels, arcs.src == labels.node).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("low"))
+        seen = labels.join(near, "node", "left").select("node", "label", F.least("label", "low").alias("mid"))
+        hooks = seen.where("mid < label").groupBy(F.col("label").alias("node")).agg(F.min("mid").alias("hook"))
+        step = seen.join(hooks, "node", "left").select("node", F.col("label").alias("was"), F.least("mid", "hook").alias("mid"))
+        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
+        label = F.least("mid", "far")
+        labels = store(step.join(jump, "mid", "left").select("node", label.alias("label"), (label != F.col("was")).alias("moved")), "labels")
+        if not labels.where("moved").limit(1).count():
+            return labels.select("node", "label")
+        labels = labels.drop("moved")
+
+
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
     """(node, component): the smallest node reachable.  Labels spread along edges and then jump to their label's label."""
     both = edges.select(F.col("node1").alias("src"), F.col("node2").alias("dst")).union(edges.select("node2", "node1")).distinct()

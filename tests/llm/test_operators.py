@@ -98,6 +98,16 @@ def test_components(spark):
     assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_shuffled_path(spark, monkeypatch):
+    ids = random.Random(7).sample(range(1 << 62), 3000)
+    links = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    rounds, keep = [], shared.stored
+    monkeypatch.setattr(shared, "stored", lambda df, name: rounds.append(name) or keep(df, name))
+    got = shared.components(links).collect()
+    assert len(got) == 3000 and {r["comp"] for r in got} == {min(ids)}
+    assert rounds.count("labels") <= 30
+
+
 # Classifiers ----------------------------------------------------------------------------------------------------------
 
 
