@@ -66,21 +66,10 @@ def smallest_reachable(arcs: DataFrame, store: Callable[[DataFrame, str], DataFr
         labels = labels.drop("moved")
 
 
-def components(edges: DataFrame, most: int = 100) -> DataFrame:
-    """(node, component): the smallest node reachable.  Labels spread along edges and then jump to their label's label."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable."""
     both = edges.select(F.col("node1").alias("src"), F.col("node2").alias("dst")).union(edges.select("node2", "node1")).distinct()
-    both = checkpointed(both, "arcs")
-    labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("component"))
-    labels = checkpointed(labels, "labels")
-    for _ in range(most):
-        near = both.join(labels, both.src == labels.node).groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("low"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "low").alias("mid"))
-        far = labels.select(F.col("node").alias("mid"), F.col("component").alias("far"))
-        labels = checkpointed(step.join(far, "mid").select("node", F.least("mid", "far").alias("component"), (F.least("mid", "far") != F.col("was")).alias("moved")), "labels")
-        if not labels.where("moved").limit(1).count():
-            break
-        labels = labels.drop("moved")
-    return labels.select("node", "component")
+    return smallest_reachable(checkpointed(both, "arcs"), checkpointed).withColumnRenamed("label", "component")
 
 
 def prune_low_minimizer(edges: DataFrame, c: int, absolute: float = 8.0, relative: float = 5.0) -> DataFrame:

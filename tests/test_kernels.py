@@ -143,6 +143,16 @@ def test_transitive_reduction(spark):
     assert reduced(spark, [*line, (2, 2, 0, True, False, 2000)]) == set()
 
 
+def test_components_of_a_long_shuffled_path(spark):
+    ids = random.Random(3).sample(range(10**6), 1500)
+    rows = [(i, a, b, True, False, 100) for i, (a, b) in enumerate(zip(ids, ids[1:]))]
+    edges = edge_table(spark, rows)
+    got = G.components(edges).collect()
+    assert len(got) == 1500 and {r["component"] for r in got} == {min(ids)}
+    paths = G.unitigs(spark.createDataFrame([(n,) for n in ids], "node long"), edges).collect()
+    assert {r["unitig"] for r in paths} == {min(ids)} and sorted(r["at"] for r in paths) == list(range(1500))
+
+
 def test_components_and_unitigs(spark):
     rows = [(i, i, i + 1, True, False, 100) for i in range(6)] + [(10, 20, 21, True, True, 100), (11, 21, 20, False, False, 100)]
     got = {r["node"]: r["component"] for r in G.components(edge_table(spark, rows)).collect()}
