@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 MATCH, MISMATCH, OPEN, EXTEND = 1, -2, -3, -2
 
 
@@ -292,15 +294,21 @@ def window_consensus(seqs: list[str], quals: list[float], draft: str = "", top:
     No sequence gives the draft, one gives itself.  If the best sequence has a
     run of ``long_run``, runs are compressed first and their lengths voted on.
     """
-    if not seqs:
-        return draft
-    if len(seqs) == 1:
-        return seqs[0]
+    if len(seqs) < 2:
+        return chosen_consensus(seqs, draft, long_run)
     p75 = float(np.percentile([len(s) for s in seqs], 75))
-    ranked = sorted(zip(seqs, quals), key=lambda x: (-(x[1] - abs(len(x[0]) - p75)), x[0]))[:top]
+    ranked = sorted(zip(seqs, quals), key=lambda x: (-(x[1] - abs(len(x[0]) - p75)), x[0]))
     if len(ranked) > 20:
         ranked = ranked[: len(ranked) - len(ranked) // 20]
-    chosen = [s for s, _ in ranked]
+    return chosen_consensus([s for s, _ in ranked[:top]], draft, long_run)
+
+
+def chosen_consensus(chosen: list[str], draft: str = "", long_run: int = 10) -> str:
+    """Consensus of sequences already ranked and trimmed, the best one first."""
+    if not chosen:
+        return draft
+    if len(chosen) == 1:
+        return chosen[0]
     if any(n >= long_run for _, n in homopolymers(chosen[0])):
         return expand_runs(poa(["".join(c for c, _ in homopolymers(s)) for s in chosen]), chosen)
     found = poa(chosen)
@@ -320,19 +328,31 @@ def join_windows(parts: list[str], overlap: int) -> str:
     return out
 
 
+def best_of_windows(windows: DataFrame, top: int = 75) -> DataFrame:
+    """(contig, window, seq, quality, rank): the sequences that ``window_consensus`` would choose, so that a deep window is cut before its kernel.
+
+    The 75th percentile of length and the rank are over all sequences of a window; the worst twentieth of all goes before ``top`` are kept.
+    """
+    keys = ["contig", "window"]
+    windows = checkpointed(windows.select(*keys, "seq", "quality"), "windows")
+    lengths = windows.groupBy(*keys).agg(F.percentile(F.length("seq"), 0.75).alias("p75"), F.count("*").alias("n"))
+    score = F.col("quality") - F.abs(F.length("seq") - F.col("p75"))
+    ranked = windows.join(lengths, keys).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), "seq")))
+    trimmed = F.col("n") - F.when(F.col("n") > 20, F.floor(F.col("n") / 20)).otherwise(0)
+    return ranked.where((F.col("rank") <= top) & (F.col("rank") <= trimmed)).select(*keys, "seq", "quality", "rank")
+
+
 def polish(windows: DataFrame, overlap: int = 205) -> DataFrame:
     """(contig, seq, windows) from (contig, window, seq, quality): consensus of each window, then joined in order."""
     kind = dict(windows.dtypes)["contig"]
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["quality", "seq"], ascending=[False, True])
-        return pd.DataFrame([(rows["contig"].iloc[0], rows["window"].iloc[0], window_consensus(rows["seq"].tolist(), rows["quality"].tolist()))], columns=["contig", "window", "seq"])
+        rows = rows.sort_values("rank")
+        return pd.DataFrame([(rows["contig"].iloc[0], rows["window"].iloc[0], chosen_consensus(rows["seq"].tolist()))], columns=["contig", "window", "seq"])
 
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("window")
         return pd.DataFrame([(rows["contig"].iloc[0], join_windows(rows["seq"].tolist(), overlap), len(rows))], columns=["contig", "seq", "windows"])
 
-    best = Window.partitionBy("contig", "window").orderBy(F.desc("quality"), "seq")
-    limited = windows.withColumn("_r", F.row_number().over(best)).where("_r <= 75").drop("_r")
-    each = limited.groupBy("contig", "window").applyInPandas(one, f"contig {kind}, window int, seq string")
+    each = best_of_windows(windows).groupBy("contig", "window").applyInPandas(one, f"contig {kind}, window int, seq string")
     return each.groupBy("contig").applyInPandas(whole, f"contig {kind}, seq string, windows int")

@@ -306,3 +306,16 @@ def test_marker_screen_keeps_every_marker(spark, tmp_path):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     kinds = {r["id"]: r["class"] for r in R.k_dereplicate(spark, str(tmp_path)).collect()}
     assert sum(kinds[i] == "primary" for i in range(12)) == 1
+
+
+def test_deep_windows_are_ranked_over_all_sequences(spark):
+    short = [("ACGTACGTAC" * 2, 30.0 + i / 100) for i in range(80)]
+    long = [("GATTACAGCC" * 10, 29.0 + i / 100) for i in range(120)]
+    rows = [(1, 0, s, q) for s, q in short + long]
+    got = P.best_of_windows(spark.createDataFrame(rows, "contig long, window int, seq string, quality double")).collect()
+    want = sorted((q for _, q in long), reverse=True)[:75]
+    assert sorted((r["quality"] for r in got), reverse=True) == want
+    few = spark.createDataFrame([(2, 0, s, q) for s, q in short[:40]], "contig long, window int, seq string, quality double")
+    assert P.best_of_windows(few).count() == 38
+    whole = P.polish(spark.createDataFrame(rows, "contig long, window int, seq string, quality double")).collect()[0]["seq"]
+    assert whole == P.window_consensus([r[2] for r in rows], [r[3] for r in rows]) and len(whole) > 50
