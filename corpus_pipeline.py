@@ -26,8 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more)."""
-    groups = near_dedup.near_duplicates(docs, width=5, percent=80)
-    keys = stored(groups.where("kept").select("row_key").distinct(), "kept").withColumnRenamed("row_key", "_row_key")
+    keys = stored(near_dedup.representatives(docs, width=5, percent=80), "kept").withColumnRenamed("row_key", "_row_key")
     rows = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
     return rows.join(keys, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(docs.columns)
 

@@ -248,8 +248,8 @@ def tiled(members: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("bucket", "line", "col").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, row_key) for every row of ``docs``."""
+def placed_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, rows: int, bands: int) -> DataFrame:
+    """(doc_id, row_key, n_shingles, node, comp) for every row of ``docs``; comp is null for empty sets."""
     signed = stored(signatures(docs, id_col, text_col, width, rows, bands), "signatures")
     classes = signed.where("node is not null").groupBy("node").agg(F.min("row_key").alias("row_key"))
     spread = signed.where("node is not null").select("node", F.explode("bands").alias("bucket"))
@@ -277,7 +277,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = found.union(verify(rest))
         label = components(found)
 
-    own = signed.select("doc_id", "row_key", "n_shingles", "node").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return signed.select("doc_id", "row_key", "n_shingles", "node").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """(row_key): one row of each component, by doc_id with nulls last and then row_key; rows of empty sets are components of their own."""
+    own = placed_rows(docs, id_col, text_col, width, percent, rows, bands)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))["row_key"]
+    best = own.where("node is not null").groupBy("comp").agg(first.alias("row_key")).select("row_key")
+    return best.union(own.where("node is null").select("row_key").distinct())
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, row_key) for every row of ``docs``."""
+    own = placed_rows(docs, id_col, text_col, width, percent, rows, bands)
     lowest = own.where("node is not null").groupBy("comp").agg(F.min("doc_id").alias("low"))
     out = own.join(lowest, "comp", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("low"))

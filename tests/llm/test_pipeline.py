@@ -68,3 +68,16 @@ def test_empty(spark, data):
     for _, stage in pipeline.STAGES:
         docs = stored(stage(spark, docs, data), "empty")
     assert docs.count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Rows without an id, and rows of one id, are copies like any other."""
+    words = [f"w{i}" for i in range(300)]
+    text, close, other = " ".join(words), " ".join([*words, "more"]), " ".join(f"v{i}" for i in range(300))
+    rows = [(None, text), (7, close), (7, text), (None, other), (None, other + " end"), (3, None), (3, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in pipeline.drop_near_copies(spark, docs, "").collect()]
+    groups = [{text, close}, {other, other + " end"}]
+    assert [sum(t in g for _, t in left) for g in groups] == [1, 1]
+    assert [i for i, t in left if t in groups[0]] == [7]
+    assert len(left) == 5
