@@ -6,12 +6,15 @@ nothing changes.
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph as G
 from .greedy import Edge, Graph
+from .tables import stored
 
 
 def without(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -25,15 +28,15 @@ def keep_tips_apart(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.withColumnRenamed("node", "node1"), "node1", "left_anti").join(gone.withColumnRenamed("node", "node2"), "node2", "left_anti")
 
 
-def remove_tips(nodes: DataFrame, edges: DataFrame, length: int = 20_000, reads: int = 3, rounds: int = 20, keep: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Tips are taken off until there is none; ``keep`` isolates them instead."""
-    for _ in range(rounds):
+def remove_tips(nodes: DataFrame, edges: DataFrame, length: int = 20_000, reads: int = 3, rounds: int | None = None, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Tips are taken off until there is none (each round takes some), or in the stated ``rounds``; ``keep`` isolates them instead."""
+    for _ in count() if rounds is None else range(rounds):
         sized = nodes.join(G.unique_lengths(nodes, edges), "node")
-        gone = G.checkpointed(G.tips(sized, edges, length, reads).join(G.half_edges(edges).select("node").distinct(), "node", "left_semi"), "tips")
+        gone = stored(G.tips(sized, edges, length, reads).join(G.half_edges(edges).select("node").distinct(), "node", "left_semi"), "tips")
         if not gone.limit(1).count():
             break
         nodes, edges = (nodes, keep_tips_apart(edges, gone)) if keep else without(nodes, edges, gone)
-        nodes, edges = G.checkpointed(nodes, "nodes"), G.checkpointed(edges, "edges")
+        nodes, edges = stored(nodes, "nodes"), stored(edges, "edges")
     return nodes, edges
 
 
@@ -67,17 +70,17 @@ def component_kernel(nodes: DataFrame, edges: DataFrame, kernel, schema: str) ->
     return n.union(e).groupBy("component").applyInPandas(run, f"component long, {schema}")
 
 
-def pop_bubbles(nodes: DataFrame, edges: DataFrame, longest: int = 50_000, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Bubbles are popped until there is none."""
-    for _ in range(rounds):
+def pop_bubbles(nodes: DataFrame, edges: DataFrame, longest: int = 50_000, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Bubbles are popped until there is none (each round removes an edge), or in the stated ``rounds``."""
+    for _ in count() if rounds is None else range(rounds):
         sized = nodes.join(G.unique_lengths(nodes, edges), "node")
         found = component_kernel(sized, edges, lambda g: [(k, int(x)) for k, xs in zip(("node", "edge"), g.bubbles(longest)) for x in sorted(xs)], "kind string, removed long")
-        found = G.checkpointed(found, "bubbles")
+        found = stored(found, "bubbles")
         if not found.limit(1).count():
             break
         cut = found.where("kind = 'edge'").select(F.col("removed").alias("edge_id"))
         nodes, edges = without(nodes, edges.join(cut, "edge_id", "left_anti"), found.where("kind = 'node'").select(F.col("removed").alias("node")))
-        nodes, edges = G.checkpointed(nodes, "nodes"), G.checkpointed(edges, "edges")
+        nodes, edges = stored(nodes, "nodes"), stored(edges, "edges")
     return nodes, edges
 
 
@@ -108,7 +111,7 @@ def heavy_clean(nodes: DataFrame, edges: DataFrame, temperatures: tuple[float, .
     """Walk cuts from mild to strict, with tips and bubbles taken off after each."""
     for temperature in temperatures:
         for ratio in ratios:
-            edges = G.checkpointed(walk_and_cut(nodes, edges, ratio, temperature=temperature, **options), "walked")
+            edges = stored(walk_and_cut(nodes, edges, ratio, temperature=temperature, **options), "walked")
             nodes, edges = remove_tips(nodes, edges)
             nodes, edges = pop_bubbles(nodes, edges)
     return nodes, edges
@@ -128,7 +131,7 @@ def progressive_union(levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
         clash = members.join(used.distinct(), "read", "left_semi").select("id").distinct()
         fresh = contigs.join(clash, "id", "left_anti")
         taken = taken.unionByName(fresh)
-        used = G.checkpointed(used.union(members.join(fresh.select("id"), "id", "left_semi").select("read")), "used")
+        used = stored(used.union(members.join(fresh.select("id"), "id", "left_semi").select("read")), "used")
     return taken
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import checkpointed
+from .tables import stored
 
 MATCH, MISMATCH, OPEN, EXTEND = 1, -2, -3, -2
 
@@ -334,7 +334,7 @@ def best_of_windows(windows: DataFrame, top: int = 75) -> DataFrame:
     The 75th percentile of length and the rank are over all sequences of a window; the worst twentieth of all goes before ``top`` are kept.
     """
     keys = ["contig", "window"]
-    windows = checkpointed(windows.select(*keys, "seq", "quality"), "windows")
+    windows = stored(windows.select(*keys, "seq", "quality"), "windows")
     lengths = windows.groupBy(*keys).agg(F.percentile(F.length("seq"), 0.75).alias("p75"), F.count("*").alias("n"))
     score = F.col("quality") - F.abs(F.length("seq") - F.col("p75"))
     ranked = windows.join(lengths, keys).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), "seq")))

@@ -8,25 +8,11 @@ Label propagation is iterative and checkpoints every round.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written to the shared folder that ``spark.checkpoint.dir`` names."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="strandmill-graph-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .tables import forget, hot_keys, spread_join, stored
 
 
 def half_edges(edges: DataFrame) -> DataFrame:
@@ -43,33 +29,40 @@ def degrees(edges: DataFrame) -> DataFrame:
     return half_edges(edges).groupBy("node").agg(F.count_if("side").alias("out_degree"), F.count_if(~F.col("side")).alias("in_degree"))
 
 
-def smallest_reachable(arcs: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def smallest_reachable(arcs: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over ``arcs`` (src, dst), a stored table with both directions of every link.
 
     Each round a node takes the lowest label next to it, its label's node (the
     root) takes the lowest that any node of the label saw, and both jump to
     their label's label.  Rounds grow with the logarithm of the longest path in
-    whatever order its nodes are; they end only when no label moves.
+    whatever order its nodes are; they end only when no label moves.  Every
+    round is a written table, and the round before it is removed.  Hubs and the
+    labels of large components are dealt in pieces.
     """
-    labels = arcs.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"))
-    labels = store(labels.select("node", F.least("node", "low").alias("label")), "labels")
+    first = arcs.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"), F.count("*").alias("count"))
+    first = stored(first, "degrees")
+    hubs = hot_keys(first.select(F.col("node").alias("src"), "count"), "src")
+    labels = stored(first.select("node", F.least("node", "low").alias("label")), "labels")
     while True:
-        near = arcs.join(labels, arcs.src == labels.node).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("low"))
-        seen = labels.join(near, "node", "left").select("node", "label", F.least("label", "low").alias("mid"))
+        near = spread_join(arcs, labels.select(F.col("node").alias("src"), "label"), "src", hubs, "dst").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("low"))
+        seen = labels.select("node", "label").join(near, "node", "left").select("node", "label", F.least("label", "low").alias("mid"))
         hooks = seen.where("mid < label").groupBy(F.col("label").alias("node")).agg(F.min("mid").alias("hook"))
         step = seen.join(hooks, "node", "left").select("node", F.col("label").alias("was"), F.least("mid", "hook").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
+        large = hot_keys(labels.groupBy(F.col("label").alias("mid")).count(), "mid")
         label = F.least("mid", "far")
-        labels = store(step.join(jump, "mid", "left").select("node", label.alias("label"), (label != F.col("was")).alias("moved")), "labels")
+        moved = stored(spread_join(step, jump, "mid", large, "node", "left").select("node", label.alias("label"), (label != F.col("was")).alias("moved")), "labels")
+        forget(labels)
+        labels = moved
         if not labels.where("moved").limit(1).count():
+            forget(first)
             return labels.select("node", "label")
-        labels = labels.drop("moved")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable."""
     both = edges.select(F.col("node1").alias("src"), F.col("node2").alias("dst")).union(edges.select("node2", "node1")).distinct()
-    return smallest_reachable(checkpointed(both, "arcs"), checkpointed).withColumnRenamed("label", "component")
+    return smallest_reachable(stored(both, "arcs")).withColumnRenamed("label", "component")
 
 
 def prune_low_minimizer(edges: DataFrame, c: int, absolute: float = 8.0, relative: float = 5.0) -> DataFrame:
@@ -166,7 +159,7 @@ def unitigs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     map from its smallest end, or from its smallest node if it is a circle.
     Nodes without such links are paths of their own.
     """
-    links = checkpointed(simple_links(edges).select("node1", "node2", "dir1", "dir2"), "links")
+    links = stored(simple_links(edges).select("node1", "node2", "dir1", "dir2"), "links")
     label = components(links)
     placed = links.join(label.withColumnRenamed("node", "node1"), "node1")
     kind = dict(nodes.dtypes)["node"]

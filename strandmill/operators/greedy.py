@@ -49,50 +49,46 @@ class Graph:
                 self.at[(node, side)].append(e)
 
     def bubble(self, source, side: bool, longest: int, most_nodes: int = 1000) -> tuple | None:
-        """(sink, side at the sink, nodes to remove, edges to remove) of the bubble that opens at ``source``.
-
-        Nodes are visited once all edges into the side they are entered from are
-        seen.  When exactly one node is ready and none is waiting, the bubble is
-        closed; the path with the largest sum of depth times reads stays.
+        """(sink, side at the sink, nodes to remove, edges to remove) of the superbubble that opens at ``source``.
+
+        A vertex is a node with the side it is left by, ready once every edge
+        into it was seen; the bubble closes where one vertex is ready and none
+        waits.  The walk may come round to the source on its other side, which
+        then is the sink (a circle with one bubble); coming back on the side it
+        left by, or passing a node both ways, ends the search.  Of all paths the
+        one with the largest sum of depth times reads stays.
         """
-        if len(self.at[(source, side)]) < 2:
+        start, home = (source, side), (source, side, "again")
+        if len(self.at[start]) < 2:
             return None
-        gain, reach, waiting, back = {source: 0.0}, {source: 0}, {}, {}
-        ready, seen_nodes, seen_edges = [(source, side)], {source}, set()
-        entered = {}
-        while ready:
-            if len(reach) > most_nodes:
-                return None
-            node, out = ready.pop()
-            if reach[node] > longest:
+        parents = lambda v: len(self.at[(v[0], not v[1])])
+        gain, reach, last = {start: 0.0}, {start: 0}, {}
+        missing, ready, edges, ways = {}, [start], set(), {}
+        while ready and len(reach) <= most_nodes:
+            vertex = ready.pop()
+            if vertex == home or reach[vertex] > longest:
                 return None
-            for e in self.at[(node, out)]:
-                seen_edges.add(e.id)
-                other, into = e.across(node, out)
-                if other == source or entered.setdefault(other, into) != into:
+            for e in self.at[vertex[:2]]:
+                edges.add(e.id)
+                node, into = e.across(*vertex[:2])
+                if (node == source and into == side) or ways.setdefault(node, into) != into:
                     return None
-                seen_nodes.add(other)
-                worth = gain[node] + sum(self.depths[other]) * self.reads[other]
-                far = reach[node] + self.unique[other]
-                if other not in waiting:
-                    waiting[other] = len(self.at[(other, into)])
-                    gain[other], reach[other], back[other] = worth, far, (node, e.id)
-                else:
-                    reach[other] = min(reach[other], far)
-                    if worth > gain[other]:
-                        gain[other], back[other] = worth, (node, e.id)
-                waiting[other] -= 1
-                if waiting[other] == 0:
-                    ready.append((other, not into))
-            open_nodes = [n for n, k in waiting.items() if k > 0]
-            if len(ready) == 1 and not open_nodes and len(self.at[(ready[0][0], not ready[0][1])]) > 1:
-                sink = ready[0][0]
-                path, edges, node = {sink}, set(), sink
-                while node in back:
-                    node, edge = back[node]
-                    path.add(node)
-                    edges.add(edge)
-                return sink, not ready[0][1], seen_nodes - path, seen_edges - edges
+                child = home if node == source else (node, not into)
+                worth = gain[vertex] + (0.0 if child == home else sum(self.depths[node]) * self.reads[node])
+                far = reach[vertex] + (0 if child == home else self.unique[node])
+                missing[child] = missing.get(child, parents(child)) - 1
+                reach[child] = min(reach.get(child, far), far)
+                if worth > gain.get(child, -1.0):
+                    gain[child], last[child] = worth, (vertex, e.id)
+                if not missing[child]:
+                    ready.append(child)
+            if len(ready) == 1 and not any(missing.values()) and parents(ready[0]) > 1:
+                sink, step, path, used = ready[0], ready[0], {source}, set()
+                while step in last:
+                    path.add(step[0])
+                    step, edge = last[step]
+                    used.add(edge)
+                return sink[0], not sink[1], {v[0] for v in missing} - path, edges - used
         return None
 
     def bubbles(self, longest: int) -> tuple[set, set]:

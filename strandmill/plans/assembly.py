@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chaining as C
+from ..operators.tables import stored
 from ..operators import consensus as P
 from ..operators import graph as G
 from ..operators import kmers as K
@@ -124,16 +125,16 @@ def polish(contigs: DataFrame, reads: DataFrame, config: Config) -> DataFrame:
 
 def assemble(reads: DataFrame, config: Config = Config()) -> DataFrame:
     """(unitig, seq, circular, reads): draft contigs of reads (id, seq) of at least the minimum length."""
-    long = G.checkpointed(reads.where(F.length("seq") >= config.min_read_length).select("id", F.upper("seq").alias("seq")), "reads")
-    chains = G.checkpointed(overlap_chains(long, config), "chains")
+    long = stored(reads.where(F.length("seq") >= config.min_read_length).select("id", F.upper("seq").alias("seq")), "reads")
+    chains = stored(overlap_chains(long, config), "chains")
     contained = contained_reads(chains, config)
-    edges = G.checkpointed(overlap_edges(chains, contained, config), "edges")
+    edges = stored(overlap_edges(chains, contained, config), "edges")
     edges = G.prune_low_minimizer(edges, config.c, config.absolute_cut_ratio, config.relative_cut_ratio)
     sizes = long.select(F.col("id").alias("node"), F.length("seq").alias("size"))
     cut = G.transitive_edges(edges.select("edge_id", "node1", "node2", "dir1", "dir2", "overlap"), sizes, config.reduction_fuzz)
-    edges = G.checkpointed(edges.join(cut, "edge_id", "left_anti"), "reduced")
+    edges = stored(edges.join(cut, "edge_id", "left_anti"), "reduced")
     outer = long.join(contained, "id", "left_anti")
-    paths = G.checkpointed(G.unitigs(outer.select(F.col("id").alias("node")), edges), "paths")
+    paths = stored(G.unitigs(outer.select(F.col("id").alias("node")), edges), "paths")
     return draft(paths, edges, outer)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import bootstrap_interval
 from ..operators import cleaning as L
+from ..operators.tables import stored
 from ..operators import coverage as V
 from ..operators import graph as G
 from ..sources import fastx, sinks
@@ -176,6 +177,6 @@ def g_clean_graph(spark, d):
     e = order_graph(spark, d).select("edge_id", "node1", "node2", F.lit(True).alias("dir1"), F.lit(False).alias("dir2"), "overlap", F.col("diff").alias("diff_snpmers"), F.col("minimizers").alias("shared_minimizers"))
     k = F.col("node")
     nodes = G.half_edges(e).select("node").distinct().select("node", (1500 + k % 4000).alias("length"), (1 + k % 9).alias("reads"), F.array((3 + k % 20).cast("double"), (2 + k % 10).cast("double"), (1 + k % 5).cast("double")).alias("depths"))
-    nodes, e = L.pop_bubbles(nodes, G.checkpointed(e, "edges"), rounds=2)
-    nodes, e = L.remove_tips(nodes, e, 2000, 3, rounds=2)
-    return L.walk_and_cut(nodes, e, 0.25, depth=3).select("edge_id", "node1", "node2")
+    nodes, e = L.pop_bubbles(nodes, stored(e, "edges"))
+    nodes, e = L.remove_tips(nodes, e, 2000, 3)
+    return L.walk_and_cut(nodes, e, 0.25).select("edge_id", "node1", "node2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import ani, graph as G
+from ..operators.tables import stored
 from ..operators import intervals as I
 from ..operators import kmers as K
 from ..operators import seeding as J
@@ -198,7 +199,7 @@ MARKERS = f"""{SQL_READS}, {sql_kmers('reads', 'km', 21, True)}, h AS (SELECT DI
 
 
 def screened(spark, d):
-    return J.marker_screen(G.checkpointed(ani.markers(reads(spark, d), 21, 20), "markers"))
+    return J.marker_screen(stored(ani.markers(reads(spark, d), 21, 20), "markers"))
 
 
 @register("j_triangle", f"WITH {MARKERS} SELECT * FROM scr")
