@@ -1,7 +1,9 @@
 """Chat formatting with Spark expressions only.
 
-Turns are sorted as collected structs; adjacent turns of one role share a
-block, in which a control string keeps them apart; blocks are concatenated.
+The turns of a conversation are collected as structs and sorted; an array
+aggregation merges adjacent turns of one role into a block, in which a control
+string keeps them apart; blocks are concatenated, and a second aggregation adds
+up where each turn ends.
 
     <|im_start|>user\n first <|im_turn|> second <|im_end|>\n        (no spaces)
 
@@ -19,7 +21,7 @@ it has to fit into one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, TURN, END = "<|im_start|>", "<|im_turn|>", "<|im_end|>\n"
@@ -33,20 +35,32 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("&lt;|"), F.lit("<|")), F.lit("&amp;"), F.lit("&"))
 
 
+BLOCKS = """
+aggregate(turns, cast(array() AS array<struct<role:string,bodies:array<string>>>), (blocks, t) ->
+  CASE WHEN try_element_at(blocks, -1).role = t.role
+    THEN concat(slice(blocks, 1, size(blocks) - 1), array(named_struct('role', t.role, 'bodies', concat(try_element_at(blocks, -1).bodies, array(t.body)))))
+    ELSE concat(blocks, array(named_struct('role', t.role, 'bodies', array(t.body)))) END)
+"""
+#: The end of every turn's body in its conversation, from the parts (lead, body) in order.
+STOPS = """
+aggregate(parts, cast(array() AS array<int>), (stops, p) ->
+  concat(stops, array(coalesce(try_element_at(stops, -1), 0) + char_length(p.lead) + char_length(p.body))))
+"""
+
+
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: str = "assistant") -> DataFrame:
     """(conv_id, formatted, loss): the formatted conversation and the spans (start, stop) to learn from."""
     none = F.lit("")
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), none).alias("role"), F.coalesce(F.col(text_col), none).alias("text"))
-    ordered = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = F.lag("role").over(ordered)
-    head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("&nl;")), F.lit("\n"))
-    lead = F.when(before.isNull(), head).when(before == F.col("role"), F.lit(TURN)).otherwise(F.concat(F.lit(END), head))
-    rows = rows.select("conv_id", "role", "turn", "text", lead.alias("lead"), escape(F.col("text")).alias("body"))
-    rows = rows.withColumn("stop", F.sum(F.char_length("lead") + F.char_length("body")).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    rows = rows.select("conv_id", F.struct("stop", "role", "lead", "body").alias("part"))
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    role, text = F.coalesce(F.col(role_col), none), F.coalesce(F.col(text_col), none)
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"), escape(text).alias("body")).alias("t"))
+    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", F.expr(BLOCKS).alias("blocks"))
+    head = lambda r: F.concat(F.lit(START), F.replace(escape(r), F.lit("\n"), F.lit("&nl;")), F.lit("\n"))
+    first = lambda b, i: F.concat(F.when(i > 0, F.lit(END)).otherwise(none), head(b["role"]))
+    parts = F.flatten(F.transform("blocks", lambda b, i: F.transform(b["bodies"], lambda x, j: F.struct(b["role"].alias("role"), F.when(j > 0, F.lit(TURN)).otherwise(first(b, i)).alias("lead"), x.alias("body")))))
+    chats = chats.select("conv_id", parts.alias("parts")).select("conv_id", "parts", F.expr(STOPS).alias("stops"))
     formatted = F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["lead"], p["body"])), ""), F.lit(END))
-    spans = F.transform(F.filter("parts", lambda p: p["role"] == learn), lambda p: F.struct((p["stop"] - F.char_length(p["body"])).alias("start"), p["stop"].alias("stop")))
+    placed = F.zip_with("parts", "stops", lambda p, stop: F.struct(p["role"].alias("role"), (stop - F.char_length(p["body"])).alias("start"), stop.alias("stop")))
+    spans = F.transform(F.filter(placed, lambda p: p["role"] == learn), lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop")))
     return chats.select("conv_id", formatted.alias("formatted"), spans.alias("loss"))
 
 

@@ -9,7 +9,9 @@ moves a few dozen bytes for each payload and never the payload.
 Defined cases.  Null or empty text: an empty payload, which is one row of
 padding.  Equal payloads share a digest; the store may hold one more than once,
 and a reference finds one of them.  A reference without a stored payload keeps
-its place with null facts.  Null HTML: an empty sequence.  Empty tables give
+its place with null facts.  Null HTML: an empty sequence; tags left open lose no
+text (see ``sequence_of``).  Texts are stored in groups of bounded bytes, a
+longer one alone.  Empty tables give
 empty results.  Only the named columns are read.
 """
 
@@ -27,13 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
+from .text_arrays import slices, text_buffer
 
 WIDTH = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SCHEME = "sha256:"
-MEDIA_TAGS = ("img", "video", "audio", "source")
+#: Attributes that name a medium, by tag; the first with a value counts.
+MEDIA_TAGS = {"img": ("src", "data-src", "srcset", "data-srcset"), "source": ("src", "srcset"), "video": ("src", "poster"), "audio": ("src",), "embed": ("src",), "object": ("data",)}
 SILENT_TAGS = ("script", "style", "noscript", "template")
-BLOCK_TAGS = ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "article", "section", "figure", "blockquote", "pre", "br", "table", "ul", "ol")
+BLOCK_TAGS = ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "article", "section", "figure", "blockquote", "pre", "br", "table", "ul", "ol", "dl", "dt", "dd", "header", "footer", "main", "nav", "aside", "hr", "title")
+CELL_TAGS = ("td", "th")
+STORE_BYTES = 4 << 20
 PART = "struct<position:int,kind:string,text:string,reference:string,caption:string>"
 PART_TYPE = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("reference", pa.string()), ("caption", pa.string())])
 FACTS = "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
@@ -84,63 +90,139 @@ def feature_of(payload: bytes) -> str:
     return f"rows={len(grid)} mean={grid.mean():.4f} spread={grid.std():.4f} bands={bits}"
 
 
-class _Sequence(HTMLParser):
+class _Events(HTMLParser):
+    """The page as a flat list of (event, tag or text, attributes)."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parts: list[dict] = []
-        self.text: list[str] = []
-        self.silent = 0
-        self.caption: list[str] | None = None
-        self.figure: list[dict] | None = None
-
-    def flush(self) -> None:
-        text = " ".join("".join(self.text).split())
-        self.text = []
-        if text:
-            self.parts.append({"position": len(self.parts), "kind": "text", "text": text, "reference": None, "caption": None})
+        self.events: list[tuple[str, str, dict]] = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in SILENT_TAGS:
-            self.silent += 1
-        elif tag == "figcaption":
-            self.caption = []
-        elif tag in MEDIA_TAGS and (source := dict(attrs).get("src")):
-            self.flush()
-            part = {"position": len(self.parts), "kind": "media", "text": None, "reference": source, "caption": dict(attrs).get("alt") or None}
-            self.parts.append(part)
-            if self.figure is not None:
-                self.figure.append(part)
-        elif tag in BLOCK_TAGS:
-            self.flush()
-            if tag == "figure":
-                self.figure = []
+        self.events.append(("open", tag, dict(attrs)))
 
     def handle_endtag(self, tag):
-        if tag in SILENT_TAGS:
-            self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said, self.caption = " ".join("".join(self.caption).split()), None
-            for part in self.figure or ():
-                part["caption"] = said or part["caption"]
-            if not self.figure:
-                self.text.append(said)
-        elif tag in BLOCK_TAGS:
-            self.flush()
-            if tag == "figure":
-                self.figure = None
+        self.events.append(("close", tag, {}))
 
     def handle_data(self, data):
-        if not self.silent:
-            (self.text if self.caption is None else self.caption).append(data)
+        self.events.append(("text", data, {}))
+
+
+def hidden_events(events: list[tuple[str, str, dict]]) -> set[int]:
+    """Events inside silent elements.  One that is never closed hides nothing, unless it is a script or style, which by HTML's rules go on to the end."""
+    hidden, open_at = set(), []
+    for i, (event, tag, _) in enumerate(events):
+        if tag in SILENT_TAGS and event == "open":
+            open_at.append((tag, i))
+        elif tag in SILENT_TAGS and event == "close":
+            while any(t == tag for t, _ in open_at):
+                name, start = open_at.pop()
+                if name == tag:
+                    hidden.update(range(start, i + 1))
+                    break
+    for tag, start in open_at:
+        if tag in ("script", "style"):
+            hidden.update(range(start, len(events)))
+    return hidden
+
+
+def reference_of(tag: str, attrs: dict) -> str | None:
+    """What a media tag refers to: the first named attribute with a value, of a source set its first entry."""
+    for name in MEDIA_TAGS[tag]:
+        value = (attrs.get(name) or "").strip()
+        if value:
+            return value.split(",")[0].split()[0] if name.endswith("srcset") and not value.startswith("data:") else value
+    return None
+
+
+def squeezed(pieces: list[str]) -> str:
+    return " ".join("".join(pieces).split())
 
 
 def sequence_of(html: str | None) -> list[dict]:
-    """Ordered parts of a page: text runs and media references, captions with their media."""
-    parser = _Sequence()
+    """Ordered parts of a page: text runs and media references, captions with their media.
+
+    A figure's caption belongs to all media of the figure, before or after it;
+    without media, or outside a figure, it is text where it stands.  Figures
+    may nest.  An unclosed caption ends with its figure, or at the next block or
+    the page's end; unclosed figures end with the page.  Table cells are apart
+    from each other by a space.
+    """
+    parser = _Events()
     parser.feed(html or "")
     parser.close()
-    parser.flush()
-    return parser.parts
+    hidden = hidden_events(parser.events)
+    parts: list[dict] = []
+    text: list[str] = []
+    figures: list[dict] = []
+    caption: list[str] | None = None
+
+    def add(kind: str, said: str | None, reference: str | None, note: str | None) -> dict:
+        parts.append({"kind": kind, "text": said, "reference": reference, "caption": note})
+        return parts[-1]
+
+    def flush() -> None:
+        if said := squeezed(text):
+            add("text", said, None, None)
+        text.clear()
+
+    def end_caption() -> None:
+        nonlocal caption
+        if caption is None:
+            return
+        said, caption = squeezed(caption), None
+        if not figures:
+            text.extend([" ", said, " "])
+        elif said:
+            flush()
+            figures[-1]["said"].append(said)
+            figures[-1]["places"].append(add("caption", said, None, None))
+
+    def end_figure() -> None:
+        end_caption()
+        flush()
+        figure = figures.pop()
+        for part in figure["media"]:
+            part["caption"] = " ".join(figure["said"]) or part["caption"]
+        for place in figure["places"]:
+            place["kind"] = "spent" if figure["media"] else "text"
+
+    for i, (event, tag, attrs) in enumerate(parser.events):
+        if i in hidden:
+            continue
+        if event == "text":
+            (text if caption is None else caption).append(tag)
+        elif event == "open" and tag in MEDIA_TAGS:
+            if reference := reference_of(tag, attrs):
+                flush()
+                part = add("media", None, reference, attrs.get("alt") or attrs.get("title") or None)
+                if figures:
+                    figures[-1]["media"].append(part)
+        elif tag == "figcaption":
+            end_caption()
+            if event == "open":
+                caption = []
+        elif tag == "figure":
+            if event == "open":
+                end_caption()
+                flush()
+                figures.append({"media": [], "said": [], "places": []})
+            elif figures:
+                end_figure()
+        elif tag in CELL_TAGS:
+            (text if caption is None else caption).append(" ")
+        elif tag in BLOCK_TAGS:
+            if caption is None:
+                flush()
+            elif figures:
+                caption.append(" ")
+            else:
+                end_caption()
+                flush()
+    while figures:
+        end_figure()
+    end_caption()
+    flush()
+    return [{"position": i, **part} for i, part in enumerate(p for p in parts if p["kind"] != "spent")]
 
 
 def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -160,14 +242,16 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text").cast(pa.binary())
-            for at in range(0, len(batch), 256):
-                texts = [x.as_py() or b"" for x in column.slice(at, 256)]
-                payloads = [payload_of(t) for t in texts]
-                digests = [hashlib.sha256(p).digest() for p in payloads]
-                pages = [f'<article><p>Payload</p><figure><img src="{SCHEME}{d.hex()}"><figcaption>{len(t)} bytes</figcaption></figure></article>' for t, d in zip(texts, digests)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, 256), pa.array(pages), pa.array(digests, pa.binary()), pa.array([encode(p) for p in payloads], pa.binary())], names=["doc_id", "html", "digest", "media"]
-                )
+            _, offsets = text_buffer(batch.column("text"))
+            for i, j in slices(offsets, STORE_BYTES):
+                texts = [x.as_py() or b"" for x in column.slice(i, j - i)]
+                digests, media, pages = [], [], []
+                for text in texts:
+                    payload = payload_of(text)
+                    digests.append(hashlib.sha256(payload).digest())
+                    media.append(encode(payload))
+                    pages.append(f'<article><p>Payload</p><figure><img src="{SCHEME}{digests[-1].hex()}"><figcaption>{len(text)} bytes</figcaption></figure></article>')
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(pages, pa.string()), pa.array(digests, pa.binary()), pa.array(media, pa.binary())], names=["doc_id", "html", "digest", "media"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return stored(rows.mapInArrow(run, "doc_id long, html string, digest binary, media binary"), "media")
@@ -214,3 +298,10 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "feature",
         "position",
     )
+
+
+def page_parts(pages: DataFrame, store: DataFrame | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Every part of every page in its position, with the facts of its payload where ``store`` (digest, media) has it; other references keep null facts."""
+    if store is None:
+        store = pages.sparkSession.createDataFrame([], "digest binary, media binary")
+    return resolve(interleave(pages, id_col, html_col), media_facts(store)).drop("digest").withColumnRenamed("id", id_col)

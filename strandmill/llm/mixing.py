@@ -9,15 +9,15 @@ Defined cases.  Null or empty text: size 0, nothing taken.  Null source: a
 source of its own, last in order.  Repeated rows and ties of the key count and
 take separately, in an order that does not change the result as a set.  Empty
 table: empty result.  All sizes 0: targets 0.  Only the id, source and text
-columns are read.
+columns are read; other columns of the mixed corpus may have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import free_name, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -61,6 +61,10 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     return filled.select("source", "source_size", "source_rank", F.least(F.col("cap").cast("double"), F.lit(found) * F.col("weight")).alias("target"))
 
 
+def _row_key(id_col: str, source_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
     """(doc_id, source, row_key, size, source_size, target, taken) of every row: the words that the mix takes of it.
 
@@ -73,7 +77,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     narrow = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
-        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row_key"),
+        _row_key(id_col, source_col, text_col).alias("row_key"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long").alias("key"),
     )
@@ -89,6 +93,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     return rows.select("doc_id", "source", "row_key", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+WORDS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
+
+
+def materialized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
+    """The mixed corpus: ``docs``, all columns, one row for each time that the mix takes a text.
+
+    Repeats are rows of their own, and the text at a source's cut holds just the
+    words that are taken.  Size, source_size, target and taken (the words of this
+    row) are added, under names that no column of ``docs`` has.  Texts of which
+    nothing is taken, those without words included, are left out.
+    """
+    key, place, copy = (free_name(docs, n) for n in ("_row_key", "_place", "_copy"))
+    added = {c: free_name(docs, c) for c in ("size", "source_size", "target", "taken")}
+    size, taken = F.col(added["size"]), F.col(added["taken"])
+    # Rows of one id, source and text are alike: their whole rounds are equal, and what is left goes to them in turn.
+    plan = mix(docs, id_col, source_col, text_col, weights, epochs, seed).groupBy(F.col("row_key").alias(key)).agg(
+        *[F.max(c).alias(added[c]) for c in ("size", "source_size", "target")], F.sum("taken").alias(added["taken"]), F.min("taken").alias(copy), F.count("*").alias(place)
+    )
+    plan = plan.where(taken > 0).withColumn(copy, F.col(copy) - F.col(copy) % size).withColumn(place, taken - F.col(place) * F.col(copy))
+    rows = docs.withColumn(key, _row_key(id_col, source_col, text_col)).join(plan, key)
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(key)) - 1
+    rows = rows.withColumn(added["taken"], F.col(copy) + F.greatest(F.lit(0), F.least(size, F.col(place) - turn * size))).where(taken > 0)
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(0), F.ceil(taken / size).cast("int") - 1))).withColumn(added["taken"], F.least(size, taken - F.col(copy) * size))
+    text = F.col(text_col)
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), F.lit(1), taken.cast("int")), "")
+    return rows.withColumn(text_col, F.when(taken < size, cut).otherwise(text)).select(*docs.columns, *added.values())
+
+
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

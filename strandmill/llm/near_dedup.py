@@ -18,7 +18,8 @@ Defined cases.  Null or empty text, or no word: an empty set, linked with
 nothing, a component of its own.  Fewer words than a shingle: the whole
 sequence is the one shingle.  Repeated rows and copies share a component.  A
 null doc_id never becomes a component id unless all ids of the component are
-null.  Empty tables give empty results.  Only the id and text columns are read,
+null; a row is kept if its doc_id is the component id, null being equal to null
+only.  Empty tables give empty results.  Only the id and text columns are read,
 so other columns may have any name.
 
 A pair at the threshold itself shares no band with probability
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, stored
+from .shared import components, hot_keys, spread_join, stored
 from .text_arrays import U64, fold, mix64, slices, text_buffer, word_hashes, words
 
 ROWS, BANDS = 6, 40
@@ -277,7 +278,10 @@ def placed_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent
         found = found.union(verify(rest))
         label = components(found)
 
-    return signed.select("doc_id", "row_key", "n_shingles", "node").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = signed.select("doc_id", "row_key", "n_shingles", "node")
+    copies = hot_keys(rows.where("node is not null").groupBy("node").count(), "node")
+    linked = spread_join(rows.where("node is not null"), label, "node", copies, "row_key", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return linked.select(*rows.columns, "comp").union(rows.where("node is null").withColumn("comp", F.lit(None).cast("long")))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -290,8 +294,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, row_key) for every row of ``docs``."""
-    own = placed_rows(docs, id_col, text_col, width, percent, rows, bands)
-    lowest = own.where("node is not null").groupBy("comp").agg(F.min("doc_id").alias("low"))
-    out = own.join(lowest, "comp", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("low"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "row_key")
+    own = stored(placed_rows(docs, id_col, text_col, width, percent, rows, bands), "placed")
+    lowest = own.where("node is not null").groupBy("comp").agg(F.min("doc_id").alias("low"), F.count("*").alias("count"))
+    large = hot_keys(lowest, "comp")
+    full = spread_join(own.where("node is not null"), lowest.select("comp", "low"), "comp", large, "row_key")
+    out = full.select(*own.columns, F.col("low").alias("component_id")).union(own.where("node is null").withColumn("component_id", F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import free_name, stored
 
 #: Name, pattern and a character that every match holds.  The patterns find the
 #: leftmost non-overlapping matches of the plain forms; possessive quantifiers
@@ -189,16 +189,21 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with each accepted span replaced by its kind in angle brackets; overlapping spans give way to the earlier, longer one."""
+    """``docs``, all columns, with each accepted span replaced by its kind in angle brackets; overlapping spans give way to the earlier, longer one.
+
+    Null and empty texts and rows without spans stay as they are; repeated rows
+    are redacted alike; columns of any other name pass through.
+    """
     rows, each = detect(docs, id_col, text_col)
-    found = each.join(rows.select("row", "key"), "row").groupBy("key", "row").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("stop"), "kind"))).alias("_spans"))
-    found = found.groupBy(F.col("key").alias("_key")).agg(F.max("_spans").alias("_spans"))
+    key, spans_ = free_name(docs, "_key"), free_name(docs, "_spans")
+    found = each.join(rows.select("row", "key"), "row").groupBy("key", "row").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("stop"), "kind"))).alias(spans_))
+    found = found.groupBy(F.col("key").alias(key)).agg(F.max(spans_).alias(spans_))
     text = F.col(text_col)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
     name = lambda k: F.element_at(F.array(*[F.lit(f"<{x.upper()}>") for x in KINDS]), k + 1)
     step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(
         F.struct((-s["stop"]).alias("at"), F.concat(a["text"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), name(s["kind"])).alias("text"))
     )
-    clean = F.aggregate("_spans", zero, step, lambda a: F.concat(a["text"], F.substring(text, a["at"] + 1, F.char_length(text))))
-    joined = docs.withColumn("_key", F.xxhash64(F.col(id_col).cast("long"), text)).join(found, "_key", "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(clean)).select(docs.columns)
+    clean = F.aggregate(spans_, zero, step, lambda a: F.concat(a["text"], F.substring(text, a["at"] + 1, F.char_length(text))))
+    joined = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), text)).join(found, key, "left")
+    return joined.withColumn(text_col, F.when(F.col(spans_).isNull(), text).otherwise(clean)).select(docs.columns)

@@ -25,6 +25,11 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interleaved parts of the raw web pages, which the digest columns of texts do not show."""
+    return media.page_parts(table(spark, sf_dir, "pages")).select("page_id", "position", "kind", "text", "reference", "caption")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, weights=(5, 2, 1), epochs=3).select("doc_id", "size", "source_size", "target", "taken")
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_trees": op1_quality_trees,
         "op2_media_columns": op2_media_columns,
+        "media_pages": media_pages,
         "op3_mix_sources": op3_mix_sources,
         "op4_secret_ownership": op4_secret_ownership,
         "op5_pii_weak_supervision": op5_pii_weak_supervision,

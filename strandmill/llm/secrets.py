@@ -3,11 +3,12 @@
 Each text yields base spans (assignments, access keys, hexadecimal runs) and
 further high-entropy tokens.  The hashes of all their values are counted over
 the corpus by distinct owners and repositories: a value that several owners
-carry is a copied example, a value of one owner looks live.  Live tokens become
-spans of their own; base spans always stay.
+carry, or one owner in more than MOST_REPOS repositories, is a copied example;
+any other looks live.  Live tokens become spans of their own; base spans always
+stay, and every candidate has its own verdict and both frequencies.
 
-Distinct (hash, owner, repository) rows are formed before any count, so a value
-copied into a third of all texts is a few pre-aggregated rows in each task.
+Distinct (hash, owner, repository) rows are formed before any count, and the
+verdict of a value in very many texts is dealt to them in pieces.
 
 Defined cases.  Null or empty text: no span.  A null owner or repository is one
 like any other.  Repeated rows: each has its spans; equal (owner, repository)
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import hot_keys, spread_join, stored
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -37,6 +38,8 @@ KINDS = ("assign", "access", "hex", "token")
 #: What a text must hold for any span at all, in the linear-time dialect.
 ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}|AKIA[A-Z0-9]{14}|[0-9a-f]{16}|[A-Za-z0-9_-]{20}"""
 ENTROPY = 3.5
+#: A live value has at most so many owners and repositories.
+MOST_OWNERS, MOST_REPOS = 1, 3
 CANDIDATE = pa.struct([("rank", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.binary())])
 
 
@@ -100,17 +103,27 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", most_owners: int = 1) -> DataFrame:
-    """Spans and ownership verdicts of every row; values with at most ``most_owners`` owners look live."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
+    """Spans and ownership verdicts of every row; values with at most ``most_owners`` owners and ``most_repos`` repositories look live.
+
+    ``verdicts`` has kind:start:end:verdict:owners:repositories of every
+    candidate, tokens that are no span included, in order of start, then kind.
+    """
     rows = stored(candidates(docs, id_col, text_col, owner_col, repo_col).withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = rows.select("row", "owner", "repo", F.explode("found").alias("c")).select("row", "owner", "repo", "c.*")
-    judged = each.join(ownership(each), "hash").withColumn("live", F.col("owners") <= most_owners)
+    owned = ownership(each)
+    spread = hot_keys(each.groupBy("hash").count(), "hash")
+    judged = spread_join(each, owned, "hash", spread, "row").withColumn("live", (F.col("owners") <= most_owners) & (F.col("repos") <= most_repos))
     spelt = F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("rank") + 1), "start", "end")
+    said = F.concat_ws(":", spelt, F.when(F.col("live"), "live").otherwise("copied"), "owners", "repos")
     kept = F.when(F.col("live") | (F.col("rank") < 3), F.struct("start", "rank", spelt.alias("span")))
+    listed = lambda spans: F.array_join(F.transform(F.array_sort(F.collect_list(spans)), lambda s: s["span"]), ",")
     known = judged.groupBy("row").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda s: s["span"]), ",").alias("spans"),
+        listed(kept).alias("spans"),
+        listed(F.struct("start", "rank", said.alias("span"))).alias("verdicts"),
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_copied"),
     )
     out = rows.drop("found").join(known, "row", "left")
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+    blank = [F.coalesce(c, F.lit("")).alias(c) for c in ("spans", "verdicts")]
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", *blank, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_copied")])

@@ -1,33 +1,14 @@
-"""Tables that outlive executors, and graph components over link tables."""
+"""Folds of ids, and graph components over link tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import smallest_reachable
+from ..operators.tables import forget, free_name, hot_keys, keep_rows, spread_join, stored
 
-UNSET = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset (one machine, tests), a temporary one."""
-    path = spark.conf.get(UNSET, None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="strandmill-")
-        spark.conf.set(UNSET, path)
-    return path.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "crc_mod", "forget", "free_name", "hot_keys", "keep_rows", "spread_join", "stored"]
 
 
 def crc_mod(id_col: str, modulus: int):
@@ -44,4 +25,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = links.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src <> dst")
     both = stored(both.union(both.select("dst", "src")).distinct(), "links")
-    return smallest_reachable(both, stored).withColumnRenamed("label", "comp")
+    return smallest_reachable(both).withColumnRenamed("label", "comp")

@@ -5,8 +5,13 @@ cased, hashed).  Each n-gram is scaled by the log ratio of its smoothed document
 frequencies among toxic and other labelled texts; a logistic regression is
 trained on the scaled features.
 
-Whole texts are read, long ones in pieces: n-grams are marked in a table of
-fixed size, so memory does not follow the length of a text.
+Whole texts are read, long ones in overlapping windows that change no n-gram:
+n-grams are marked in a table of fixed size, so memory is that table and a small
+multiple of the text itself.
+
+N-grams in fewer than LEAST_DOCS sampled texts, or with an absolute log-count
+ratio under LEAST_RATIO, weigh nothing.  Where no n-gram passes (very few
+labels), every text has the score that the shares of the labels give.
 
 Defined cases.  Null or empty text: the model's intercept as score.  No labels
 of one of the classes: every score is the share of label 1 (0.5 without any
@@ -32,7 +37,6 @@ BITS = 18
 ORDERS = (4, 5, 6)
 SAMPLE = 6000
 THRESHOLD = 0.7
-#: N-grams in fewer sampled texts, or with a smaller absolute log ratio, weigh nothing.
 LEAST_DOCS, LEAST_RATIO = 5, 1.0
 PIECE = 1 << 18
 
@@ -43,19 +47,22 @@ _MULT = {n: U64((0x9E3779B97F4A7C15 * (2 * n + 1)) % (1 << 64) | 1) for n in ran
 
 
 def present(data: np.ndarray, seen: np.ndarray) -> None:
-    """Mark the n-grams of one text (bytes) in ``seen``."""
-    pad = np.full(1, 32, np.uint8)
-    widest = max(ORDERS)
-    for at in range(0, max(len(data), 1), PIECE):
-        piece = np.concatenate([pad, _FOLD[data[at : at + PIECE + widest]], pad])
+    """Mark the n-grams of one text (bytes), framed by one space on either side, in ``seen``.
+
+    The framed text is read in overlapping windows: each holds the n-grams that
+    start in its first PIECE bytes, so the windows' n-grams are the text's.
+    """
+    widest, space = max(ORDERS), np.full(1, 32, np.uint8)
+    framed = np.concatenate([space, _FOLD[data], space])
+    for at in range(0, len(framed), PIECE):
+        piece = framed[at : at + PIECE + widest - 1]
         gram = piece.astype(np.uint64)
-        inner = piece != 32
-        gap = np.concatenate([[0], np.cumsum(~inner)])
+        gap = np.concatenate([[0], np.cumsum(piece == 32)])
         for n in range(2, widest + 1):
             gram = (gram[:-1] << U64(8)) | piece[n - 1 :]
             if n in ORDERS and len(gram):
                 # No space but at the ends: n-grams stay within one word.
-                one_word = gap[n - 1 : len(piece)] [: len(gram)] - gap[1 : len(gram) + 1] == 0
+                one_word = gap[n - 1 : len(piece)][: len(gram)] - gap[1 : len(gram) + 1] == 0
                 seen[((gram[one_word] * _MULT[n]) >> U64(64 - BITS)).astype(np.int64)] = 1
 
 

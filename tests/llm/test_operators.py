@@ -154,6 +154,60 @@ def test_toxicity_long_texts_are_read_whole():
     assert (seen >= alone).all() and alone.any()
 
 
+def test_toxicity_windows_change_no_ngram(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(50):
+        text = " ".join("".join(rng.choice("abCé\t") for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 60))).encode()
+        marks = []
+        for piece in (1 << 18, 16, 1):
+            monkeypatch.setattr(toxicity, "PIECE", piece)
+            marks.append(np.zeros(1 << toxicity.BITS, np.uint8))
+            toxicity.present(np.frombuffer(text, np.uint8), marks[-1])
+        assert (marks[0] == marks[1]).all() and (marks[0] == marks[2]).all()
+
+
+def brute_ngrams(text):
+    """Every run of 4 to 6 bytes of the framed text without a space inside, by the hash of its bytes."""
+    framed = " " + re.sub("[\t\n\x0b\x0c\r]", " ", text.translate(LOWER)) + " "
+    data, out = framed.encode(), set()
+    for n in (4, 5, 6):
+        for at in range(len(data) - n + 1):
+            gram = data[at : at + n]
+            if b" " not in gram[1:-1]:
+                out.add((int.from_bytes(gram, "big") * int(toxicity._MULT[n]) % (1 << 64)) >> (64 - toxicity.BITS))
+    return out
+
+
+def test_toxicity_against_brute_force(spark):
+    """N-grams, ratios and the logistic fit by plain loops."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        toxic = i % 3 == 0
+        pool = ["awful", "stupid", "hate"] if toxic else ["kind", "garden", "music"]
+        rows.append((i, " ".join(rng.choice([*pool, "the", "house", "Öl"]) for _ in range(12)), int(toxic)))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    used = [(brute_ngrams(t), y) for i, t, y in rows if not held(i, 3, 1)]
+    positive, negative = sum(y for _, y in used), sum(1 - y for _, y in used)
+    toxic, other = (Counter(g for grams, y in used if y == side for g in grams) for side in (1, 0))
+    ratio = {g: math.log((toxic[g] + 1) / (positive + 2)) - math.log((other[g] + 1) / (negative + 2)) for g in {*toxic, *other} if toxic[g] + other[g] >= 5}
+    ratio = {g: r for g, r in ratio.items() if abs(r) >= 1}
+    names = sorted(ratio)
+    x = np.array([[ratio[g] * (g in grams) for g in names] for grams, _ in used])
+    y = np.array([y for _, y in used])
+    w, b = np.zeros(len(names)), math.log(positive / negative)
+    for _ in range(4000):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        w -= 0.02 * (x.T @ (p - y) / len(y) + 1e-3 * w)
+        b -= 0.02 * float((p - y).mean())
+    model = toxicity.train(docs, labels)
+    assert set(np.flatnonzero(model.weights)) <= set(names)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    margin = {i: sum(w[names.index(g)] * ratio[g] for g in brute_ngrams(t) if g in ratio) + b for i, t, _ in rows}
+    assert all((got[i] > 0.5) == (margin[i] > 0) for i, _, _ in rows)
+    assert np.corrcoef([margin[i] for i in got], [math.log(got[i] / (1 - got[i])) for i in got])[0, 1] > 0.97
+
+
 # Media ----------------------------------------------------------------------------------------------------------------
 
 
@@ -172,6 +226,21 @@ def test_media_round_trip(spark, docs, odd, empty):
     assert media.text_media(empty).count() == 0
 
 
+def test_unclosed_and_nested_tags_lose_no_text():
+    said = lambda html: [(p["kind"], p["text"] or p["reference"], p["caption"]) for p in media.sequence_of(html)]
+    assert said('<figure><figcaption>First</figcaption><img src="a"></figure>after') == [("media", "a", "First"), ("text", "after", None)]
+    assert said('<figure><img src="a"><figcaption>Open</figure><p>rest</p>') == [("media", "a", "Open"), ("text", "rest", None)]
+    assert said("<figcaption>Lone<p>rest</p>") == [("text", "Lone", None), ("text", "rest", None)]
+    assert said('<figure><img src="a"><figcaption>never closed') == [("media", "a", "never closed")]
+    assert said("<noscript>open <p>all the rest</p>") == [("text", "open", None), ("text", "all the rest", None)]
+    assert said('<noscript><img src="x">gone</noscript>kept') == [("text", "kept", None)]
+    assert said('<figure><img src="a"><figure><img src="b"><figcaption>inner</figcaption></figure><figcaption>outer</figcaption></figure>') == [("media", "a", "outer"), ("media", "b", "inner")]
+    assert said("<table><tr><td>a</td><td>b</td></tr></table>") == [("text", "a b", None)]
+    assert said('<img srcset="big.png 2x, small.png 1x"><img data-src="lazy"><video poster="p"></video><object data="o"></object>') == [("media", x, None) for x in ("big.png", "lazy", "p", "o")]
+    assert said("<figure><figcaption>no media</figcaption></figure>") == [("text", "no media", None)]
+    assert said("<script>var a = '<p>';") == []
+
+
 def test_media_damage_is_noticed():
     stored = bytearray(media.encode(b" " * 192))
     stored[50] ^= 1
@@ -277,6 +346,14 @@ def test_ownership_separates_copies_from_live_values(spark):
     assert out[3]["spans"] == "" and out[3]["n_copied"] == 1 and out[5]["n_copied"] == 1
 
 
+def test_one_owner_with_many_repositories_is_a_copy(spark):
+    value = "Zq9xK2mW7rT4bV8nL3cP"
+    rows = [(i, f"use {value}", "a") for i in range(50)] + [(99, "token=abcdefghijkl", "a")]
+    out = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out[0]["spans"] == "" and out[0]["n_live"] == 0 and out[0]["verdicts"] == f"token:4:{4 + len(value)}:copied:1:50"
+    assert out[99]["verdicts"] == "assign:0:18:live:1:1" and out[99]["spans"] == "assign:0:18"
+
+
 # Personal data --------------------------------------------------------------------------------------------------------
 
 
@@ -314,13 +391,12 @@ def test_pii_spans(spark, docs, odd, empty):
 
 def test_pii_adds_spans_and_redacts(spark, odd):
     text = "mail me: joe [at] site [dot] com or call 555-123-4567; é ssn 123-45-6789, or a@b.org."
-    table = spark.createDataFrame([(1, text, "extra"), (2, None, "x"), (3, "clean text", "y"), (3, "clean text", "y")], "doc_id long, text string, _spans string")
-    table = table.withColumnRenamed("_spans", "note")
+    table = spark.createDataFrame([(1, text, "extra", 5), (2, None, "x", 6), (3, "clean text", "y", 7), (3, "clean text", "y", 7)], "doc_id long, text string, _spans string, _KEY int")
     spans = next(r["spans"] for r in pii.digests(table).collect() if r["doc_id"] == 1)
     assert spans.startswith("email:") and "mail_spelt:9:" in spans and "phone_local:" in spans and "ssn:" in spans
     out = [tuple(r) for r in pii.redact(table).orderBy("doc_id").collect()]
     assert out[0][1] == "mail me: <MAIL_SPELT> or call <PHONE_LOCAL>; é ssn <SSN>, or <EMAIL>."
-    assert out[1:] == [(2, None, "x"), (3, "clean text", "y"), (3, "clean text", "y")]
+    assert out[0][2:] == ("extra", 5) and out[1:] == [(2, None, "x", 6), (3, "clean text", "y", 7), (3, "clean text", "y", 7)]
     assert pii.redact(odd).count() == odd.count() and pii.redact(odd).columns == odd.columns
 
 
@@ -462,7 +538,15 @@ def test_near_duplicates(spark, docs, odd, monkeypatch, tile):
         rows = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]
         got = near_dedup.near_duplicates(table, width=width).collect()
         assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, width, 80)
-        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
+        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_near_duplicates_without_ids(spark):
+    """A row without an id is kept only where no row of its component has one."""
+    text, other = " ".join(f"w{i}" for i in range(200)), " ".join(f"v{i}" for i in range(200))
+    table = spark.createDataFrame([(1, text), (None, text), (None, text + " x"), (None, other), (None, None)], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(table).collect())
+    assert got == Counter({(1, 1, True): 1, (None, 1, False): 2, (None, None, True): 2})
 
 
 def test_near_duplicates_of_nothing(empty):
@@ -526,6 +610,8 @@ def test_queries_cover_the_table(spark, data, name, table):
     rows = spark.read.parquet(f"{data}/{table}.parquet")
     if name.startswith("op7"):
         assert {"doc_id", "item_id"} <= set(out.columns)
+    elif name == "media_pages":
+        assert out.select("page_id").distinct().count() == spark.read.parquet(f"{data}/pages.parquet").count()
     elif name.startswith("op6"):
         assert out.count() == rows.select("conv_id").distinct().count() + 1
     else:

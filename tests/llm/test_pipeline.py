@@ -63,6 +63,27 @@ def test_repeated_rows(spark, data):
     assert pipeline.drop_near_copies(spark, docs.union(docs), data).count() == pipeline.drop_near_copies(spark, docs, data).count()
 
 
+def test_stages_on_odd_rows(spark, data):
+    """Nulls, empties, a very long text, repeated rows and columns with the stages' own names."""
+    texts = [None, "", "  ", "one", "a b c d e f", "a b c d e f", "x " * 200_000, "mail a@b.org now"]
+    rows = [(None if i == 3 else i, t, None if i % 2 else "s", "k", 1, "p", 2.0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[4]], "doc_id long, text string, source string, _row_key string, size int, _spans string, taken double")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns and out.count() == {"near_dedup": 7}.get(name, 9), name
+        assert {r["_row_key"] for r in out.collect()} == {"k"}
+    out = pipeline.mix_sources(spark, docs, data)
+    assert out.columns == [*docs.columns, "size_", "source_size", "target", "taken_"]
+    assert {r["size"] for r in out.collect()} == {1}
+
+
+def test_mixed_texts_hold_the_words_taken(steps):
+    rows = steps[5].select("text", "size", "taken").collect()
+    assert all(len((r["text"] or "").split()) == r["taken"] <= r["size"] for r in rows)
+    again = steps[5].groupBy("doc_id").agg(F.sum("taken").alias("all"), F.max("size").alias("size"))
+    assert again.where("all > 3 * size").count() == 0 and again.where("all > size").count() > 0
+
+
 def test_empty(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
