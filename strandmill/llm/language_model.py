@@ -8,25 +8,33 @@ expectation-maximisation on counts of a held-out share of the training texts.
 Counts are exact and cover the whole corpus.  Tokens never travel one by one:
 
 * texts are packed into chunks, a written table;
-* each chunk sends the distinct n-grams it holds, sorted and delta-coded, to the
-  hash ranges that own them, with its own training counts;
-* each range adds up the counts of all chunks and sends every chunk the totals
-  of just the n-grams it asked for;
+* each chunk sends its distinct n-grams, sorted and delta-coded, with its own
+  counts, in FAN messages, one for each value of the hash's first byte;
+* up to about FAN chunks form a batch: a task merges what they sent under one
+  byte, so a hot n-gram goes on as one entry, and sends the sums in FAN messages
+  by the next byte, until one batch holds all; the totals come back down the
+  same way, each message answered for just its own n-grams;
 * held-out texts are chunks of their own; a chunk, its texts and its totals meet
   once to learn the weights (held-out chunks only) and once to score.
 
-An n-gram that is everywhere is one entry in each chunk, so hot words cost no
-more than rare ones, and a range is bounded by how many ranges there are.
+There are FAN messages for a chunk or merged batch, and each level has about FAN
+times fewer batches than the last and FAN times more bytes to part them by, so
+messages grow in proportion to the corpus (times its number of levels, 1 up to
+256 chunks, 2 up to 65 536, 3 up to 67 TB).  A task holds one batch's messages
+under one prefix, which is no more than a chunk's n-grams, at every level.
 
 Defined cases.  Null or empty text: the end token alone.  Repeated rows: scored
-alike, each counted.  No training text: N = 0, V = 0, uniform weights; every
-score is still finite.  Empty table: empty result.  Only the id and text columns
+alike, each counted.  No training text: N = 0, V = 0, all weight on the uniform
+estimate.  A context that was never seen has no order-two estimate, so its
+weight is shared by the other two; probabilities sum to 1 after every context.
+No held-out text: the starting weights.  Empty table: empty result.  Only the id and text columns
 are read.  N-grams are 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +44,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_mod, stored
+from .shared import crc_mod, forget, stored
 from .text_arrays import U64, fold, slices, text_buffer, word_hashes, words
 
 CHUNK_BYTES = 4 << 20
-RANGE_KEYS = 2 << 20
+#: Messages of a chunk, and chunks of a batch: two to the power of the bits that a level parts by.
+FAN_BITS = 8
 #: Share of the training texts whose counts teach the mixture weights: one in DELETED.
 DELETED = 10
 #: Buckets of context counts: 0, 1, 2-3, 4-7, ... in powers of two.
@@ -51,25 +60,36 @@ END = np.array([0x5851F42D4C957F2D], np.uint64)
 START = np.array([0x14057B7EF767814F], np.uint64)
 
 
+@lru_cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _pack(values: np.ndarray) -> bytes:
+    return _zstd()[0].compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(_zstd()[1].decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
     """Sorted distinct 64-bit keys as compressed byte planes of their differences."""
-    steps = np.diff(keys, prepend=U64(0)).astype("<u8")
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return _pack(np.diff(keys, prepend=U64(0)))
 
 
 def unpack_keys(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_unpack(raw), dtype=np.uint64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
     """Counts as compressed byte planes."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+    return _pack(counts)
 
 
 def unpack_counts(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+    return _unpack(raw).astype(np.int64)
 
 
 def pack_texts(column: pa.Array) -> bytes:
@@ -164,55 +184,113 @@ def grams(texts: bytes) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
     return keys, place, n, first
 
 
-def exchange(chunks: DataFrame, ranges: int) -> DataFrame:
-    """(chunk, gone, range, seen, train): for each chunk the corpus counts of the n-grams it asked for.
+MESSAGE = "batch long, prefix long, child long, gone boolean, keys binary, counts binary, held binary, word binary"
+REPLY = "child long, gone boolean, prefix long, digit int, seen binary, train binary, all_tokens long, train_tokens long, types long"
+KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def rows_of(schema: str, rows: list[tuple]) -> pa.Table:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: pa.array([r[i] for r in rows], KINDS[kind]) for i, (name, kind) in enumerate(fields)})
+
+
+def levels_of(chunks: int) -> int:
+    """Levels until one batch holds all chunks."""
+    levels = 1
+    while chunks > 1 << (FAN_BITS * levels):
+        levels += 1
+    return levels
+
+
+def messages(child: int, gone: bool | None, batch: int, prefix: int, level: int, keys: np.ndarray, counts: np.ndarray, held: np.ndarray | None, word: np.ndarray) -> list[tuple]:
+    """A child's n-grams parted by the hash bits of ``level``; ``held`` are the counts in held-out texts, None for none."""
+    digits = (keys >> U64(64 - FAN_BITS * level)) & U64((1 << FAN_BITS) - 1)
+    edges = np.searchsorted(digits, np.arange((1 << FAN_BITS) + 1, dtype=np.uint64))
+    return [
+        (batch, (prefix << FAN_BITS) | d, child, gone, pack_keys(keys[lo:hi]), pack_counts(counts[lo:hi]), None if held is None else pack_counts(held[lo:hi]), np.packbits(word[lo:hi]).tobytes())
+        for d, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist()))
+        if hi > lo
+    ]
+
+
+def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(keys, counts, held counts, which are words, where each message's keys are among them)."""
+    parts = [unpack_keys(x) for x in table.column("keys").to_pylist()]
+    sizes = [len(k) for k in parts]
+    keys, place = np.unique(np.concatenate(parts), return_inverse=True)
+    del parts
+    add = lambda values: np.rint(np.bincount(place, weights=np.concatenate(values), minlength=len(keys))).astype(np.int64)
+    counts = add([unpack_counts(x) for x in table.column("counts").to_pylist()])
+    held = add([np.zeros(n, np.int64) if x is None else unpack_counts(x) for x, n in zip(table.column("held").to_pylist(), sizes)])
+    flags = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("word").to_pylist(), sizes)])
+    word = np.zeros(len(keys), bool)
+    word[place[flags == 1]] = True
+    return keys, counts, held, word, np.split(place, np.cumsum(sizes)[:-1])
+
+
+def replies(table: pa.Table, places: list[np.ndarray], seen: np.ndarray, train: np.ndarray) -> list[tuple]:
+    """The totals that each message asked for.  Chunks that are not held out need no training totals."""
+    rows = zip(table.column("child").to_pylist(), table.column("gone").to_pylist(), table.column("prefix").to_pylist(), places)
+    return [(child, gone, prefix >> FAN_BITS, prefix & ((1 << FAN_BITS) - 1), pack_counts(seen[p]), None if gone is False else pack_counts(train[p]), None, None, None) for child, gone, prefix, p in rows]
+
+
+def exchange(chunks: DataFrame, size: int) -> DataFrame:
+    """(child, gone, digit, seen, train): for each of ``size`` chunks the corpus counts of the n-grams it asked for, in order of their first hash byte.
 
     ``seen`` counts all training texts, ``train`` those that are not held out
-    (for held-out chunks only).  Chunk -1 has each range's sums over words.
+    (for held-out chunks only).  Child -1 has sums over words.
     """
-    sent_schema = "range int, chunk long, gone boolean, keys binary, counts binary, word binary"
-    sent_types = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-    back_schema = "chunk long, gone boolean, range int, seen binary, train binary, all_tokens long, train_tokens long, types long"
-    back_types = (pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-    limits = np.array([(r << 64) // ranges for r in range(ranges)], np.uint64)
+    levels = levels_of(size)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, gone, raw, parts in zip(*(batch.column(c) for c in ("chunk", "gone", "texts", "parts"))):
+            for chunk, gone, to, raw, parts in zip(*(batch.column(c) for c in ("chunk", "gone", "batch", "texts", "parts"))):
                 keys, place, n, first = grams(raw.as_py())
                 training = np.repeat(np.frombuffer(parts.as_py(), np.uint8) > 0, np.diff(first))
                 counts = np.bincount(place[np.concatenate([training, training])], minlength=len(keys))
                 word = np.zeros(len(keys), bool)
                 word[place[:n]] = True
-                edges = np.append(np.searchsorted(keys, limits), len(keys))
-                rows = [(r, chunk.as_py(), gone.as_py(), pack_keys(keys[lo:hi]), pack_counts(counts[lo:hi]), np.packbits(word[lo:hi]).tobytes()) for r, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if hi > lo]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(sent_types)], names=[f.split()[0] for f in sent_schema.split(", ")])
-
-    def add(table: pa.Table) -> pa.Table:
-        chunk, gone, owner = table.column("chunk").to_pylist(), table.column("gone").to_pylist(), table.column("range")[0].as_py()
-        keys = [unpack_keys(x.as_py()) for x in table.column("keys")]
-        sizes = [len(k) for k in keys]
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        del keys
-        counts = np.concatenate([unpack_counts(x.as_py()) for x in table.column("counts")])
-        seen = np.bincount(place, weights=counts, minlength=len(every)).astype(np.int64)
-        counts[np.repeat(gone, sizes)] = 0
-        train = np.bincount(place, weights=counts, minlength=len(every)).astype(np.int64)
-        flags = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(table.column("word"), sizes)])
-        word = np.zeros(len(every), bool)
-        word[place[flags == 1]] = True
-        spots = np.split(place, np.cumsum(sizes)[:-1])
-        rows = [(c, g, owner, pack_counts(seen[p]), pack_counts(train[p]) if g else None, None, None, None) for c, g, p in zip(chunk, gone, spots)]
-        rows.append((-1, False, owner, None, None, int(seen[word].sum()), int(train[word].sum()), int((seen[word] > 0).sum())))
-        return pa.table({f.split()[0]: pa.array([x[i] for x in rows], t) for i, (f, t) in enumerate(zip(back_schema.split(", "), back_types))})
-
-    sent = chunks.select("chunk", "gone", "texts", "parts").mapInArrow(send, sent_schema)
-    return stored(sent.groupBy("range").applyInArrow(add, back_schema), "totals")
+                yield from rows_of(MESSAGE, messages(chunk.as_py(), gone.as_py(), to.as_py(), 0, 1, keys, counts, counts if gone.as_py() else None, word)).to_batches()
+
+    def lift(level: int):
+        def run(table: pa.Table) -> pa.Table:
+            keys, counts, held, word, _ = merged(table)
+            batch, prefix = table.column("batch")[0].as_py(), table.column("prefix")[0].as_py()
+            return rows_of(MESSAGE, messages(batch, None, batch >> FAN_BITS, prefix, level, keys, counts, held, word))
+
+        return run
+
+    def total(table: pa.Table) -> pa.Table:
+        _, seen, held, word, places = merged(table)
+        train = seen - held
+        sums = (-1, None, 0, 0, None, None, int(seen[word].sum()), int(train[word].sum()), int((seen[word] > 0).sum()))
+        return rows_of(REPLY, [*replies(table, places, seen, train), sums])
+
+    def lower(asked: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(asked):
+            return rows_of(REPLY, [])
+        told = told.sort_by("digit")
+        seen, train = (np.concatenate([unpack_counts(x) for x in told.column(c).to_pylist()]) for c in ("seen", "train"))
+        return rows_of(REPLY, replies(asked, merged(asked)[4], seen, train))
+
+    batches = -(-max(size, 1) // (1 << FAN_BITS))
+    placed = chunks.select("chunk", "gone", F.pmod(F.xxhash64("chunk"), F.lit(batches)).alias("batch"), "texts", "parts")
+    sent = [placed.mapInArrow(send, MESSAGE)]
+    for level in range(2, levels + 1):
+        sent[-1] = stored(sent[-1], "messages")
+        sent.append(sent[-1].groupBy("batch", "prefix").applyInArrow(lift(level), MESSAGE))
+    back = stored(sent[-1].groupBy("batch", "prefix").applyInArrow(total, REPLY), "totals")
+    sums = back.where("child < 0")
+    for asked in reversed(sent[:-1]):
+        told = back.where("child >= 0").withColumnRenamed("child", "batch")
+        back = stored(asked.groupBy("batch", "prefix").cogroup(told.groupBy("batch", "prefix")).applyInArrow(lower, REPLY), "totals")
+        forget(asked)
+    return back.where("child >= 0").union(sums) if levels > 1 else back
 
 
 def joined(chunks: DataFrame, totals: DataFrame, name: str) -> DataFrame:
-    """Each chunk with its counts from all ranges."""
-    back = totals.where("chunk >= 0").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", F.col(name).alias("counts")))).alias("back"))
+    """Each chunk with its counts, of which there are at most FAN parts."""
+    back = totals.where("child >= 0").groupBy(F.col("child").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("digit", F.col(name).alias("counts")))).alias("back"))
     return chunks.select("chunk", "texts", "parts", "ids", "no_id").join(back, "chunk")
 
 
@@ -239,8 +317,16 @@ def log_bin(p: np.ndarray) -> np.ndarray:
 
 
 def learn(rows: list[tuple[int, int, int, int]], types: int, rounds: int = 100) -> np.ndarray:
-    """Mixture weights (bucket, order) by expectation-maximisation on held-out counts (bucket, bigram bin, unigram bin, count)."""
-    weights = np.tile([0.4, 0.5, 0.1], (BUCKETS, 1))
+    """Mixture weights (bucket, order) by expectation-maximisation on held-out counts (bucket, bigram bin, unigram bin, count).
+
+    Bucket 0 has contexts that were never seen, which have no bigram estimate.
+    Without any known type only the uniform estimate is left.
+    """
+    if not types:
+        return np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
+    start = np.tile([0.4, 0.5, 0.1], (BUCKETS, 1))
+    start[0, 0] = 0.0
+    weights = start / start.sum(axis=1, keepdims=True)
     if not rows:
         return weights
     bucket, two, one, n = np.array(sorted(rows), np.int64).T
@@ -249,7 +335,7 @@ def learn(rows: list[tuple[int, int, int, int]], types: int, rounds: int = 100)
     for _ in range(rounds):
         share = weights[bucket] * p
         share *= (n / share.sum(axis=1))[:, None]
-        sums = np.stack([np.bincount(bucket, weights=share[:, k], minlength=BUCKETS) for k in range(3)], axis=1) + np.array([0.4, 0.5, 0.1])
+        sums = np.stack([np.bincount(bucket, weights=share[:, k], minlength=BUCKETS) for k in range(3)], axis=1) + start
         weights = sums / sums.sum(axis=1, keepdims=True)
     return weights
 
@@ -257,10 +343,10 @@ def learn(rows: list[tuple[int, int, int, int]], types: int, rounds: int = 100)
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, test_fold: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     chunks = chunked(docs, id_col, text_col, folds, test_fold)
-    whole = chunks.agg(F.sum("bytes").alias("bytes"), F.sum("starts").alias("starts"), F.sum(F.when(~F.col("gone"), F.col("starts"))).alias("kept_starts")).first()
+    whole = chunks.agg(F.count("*").alias("chunks"), F.sum("starts").alias("starts"), F.sum(F.when(~F.col("gone"), F.col("starts"))).alias("kept_starts")).first()
     starts, kept_starts = whole["starts"] or 0, whole["kept_starts"] or 0
-    totals = exchange(chunks, max(1, -(-(whole["bytes"] or 0) // (4 * RANGE_KEYS))))
-    sums = totals.where("chunk < 0").agg(F.sum("all_tokens").alias("n"), F.sum("train_tokens").alias("kept"), F.sum("types").alias("types")).first()
+    totals = exchange(chunks, whole["chunks"])
+    sums = totals.where("child < 0").agg(F.sum("all_tokens").alias("n"), F.sum("train_tokens").alias("kept"), F.sum("types").alias("types")).first()
     known, kept, types = sums["n"] or 0, sums["kept"] or 0, sums["types"] or 0
 
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

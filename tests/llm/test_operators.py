@@ -566,10 +566,12 @@ def test_sketch_bound_never_rules_out_a_link():
 # Language model -------------------------------------------------------------------------------------------------------
 
 
-def test_language_model(spark, docs, odd, empty, monkeypatch):
-    monkeypatch.setattr(language_model, "CHUNK_BYTES", 1 << 17)
-    monkeypatch.setattr(language_model, "RANGE_KEYS", 1 << 14)
-    for table in (docs.select("doc_id", "text"), odd):
+@pytest.mark.parametrize("chunk,fan", [(1 << 17, 8), (1 << 13, 2)])
+def test_language_model(spark, docs, odd, empty, monkeypatch, chunk, fan):
+    """One level of messages, and (with small chunks and a fan of 4) four."""
+    monkeypatch.setattr(language_model, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(language_model, "FAN_BITS", fan)
+    for table in (docs.select("doc_id", "text").where(f"doc_id < {chunk >> 8}"), odd):
         rows = [(r["doc_id"], [*words(r["text"]), "\0end"]) for r in table.select("doc_id", "text").collect()]
         counts = Counter(w for d, ws in rows if not held(d, 7, 2) for w in ws)
         total, kinds = sum(counts.values()), len(counts)
@@ -577,14 +579,82 @@ def test_language_model(spark, docs, odd, empty, monkeypatch):
         got = language_model.score(table).collect()
         assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == expected
         assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    assert language_model.score(empty).count() == 0
+
+
+def test_language_model_beats_its_base(spark, docs):
     whole = language_model.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert whole[0] > whole[1]
-    assert language_model.score(empty).count() == 0
 
 
-def test_language_model_probabilities_sum_to_one():
+class BruteModel:
+    """Deleted interpolation with dictionaries; the weights are learned on exact, unbinned probabilities."""
+
+    def __init__(self, train, deleted):
+        self.all, self.kept = self.counts(train + deleted), self.counts(train)
+        self.types = len(self.all[0])
+        self.weights = {}
+        seen = [(self.bucket(c, self.kept), self.ml(c, w, self.kept)) for words_ in deleted for c, w in zip([None, *words_], words_)]
+        for b in range(language_model.BUCKETS):
+            own = np.array([p for k, p in seen if k == b]).reshape(-1, 3)
+            prior = np.array([0.4 * (b > 0), 0.5, 0.1])
+            w = prior / prior.sum()
+            for _ in range(100 if len(own) else 0):
+                share = own * w
+                sums = (share / share.sum(axis=1, keepdims=True)).sum(axis=0) + prior
+                w = sums / sums.sum()
+            self.weights[b] = w
+
+    @staticmethod
+    def counts(texts):
+        one, two = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip([None, *t], t))
+        return one, two, len(texts), sum(one.values())
+
+    @staticmethod
+    def seen(context, counts):
+        return counts[2] if context is None else counts[0][context]
+
+    def bucket(self, context, counts):
+        return math.ceil(math.log2(self.seen(context, counts) + 1))
+
+    def ml(self, context, word, counts):
+        return (counts[1][(context, word)] / max(self.seen(context, counts), 1), counts[0][word] / max(counts[3], 1), 1 / (self.types + 1))
+
+    def probability(self, context, word):
+        return float(np.dot(self.weights[self.bucket(context, self.all)], self.ml(context, word, self.all)))
+
+    def score(self, text):
+        return sum(math.log10(self.probability(c, w)) for c, w in zip([None, *text], text))
+
+
+def test_language_model_against_brute_force(spark, docs):
+    table = docs.select("doc_id", "text")
+    gone = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(language_model.DELETED)) == 0
+    rows = [(r["doc_id"], [*words(r["text"]), "\0end"], r["gone"]) for r in table.select("*", gone.alias("gone")).collect()]
+    training = [(t, g) for d, t, g in rows if not held(d, 7, 2)]
+    model = BruteModel([t for t, g in training if not g], [t for t, g in training if g])
+    contexts = [None, "the", "zzz-never-seen", *list(model.all[0])[:5]]
+    for c in contexts:
+        assert sum(model.probability(c, w) for w in [*model.all[0], "\0unknown"]) == pytest.approx(1)
+    by_id = {d: t for d, t, _ in rows}
+    for r in language_model.score(table).collect():
+        assert r["score"] == pytest.approx(model.score(by_id[r["doc_id"]]), rel=2e-3)
+
+
+def test_language_model_without_training_text(spark):
+    only = next(i for i in range(100) if held(i, 7, 2))
+    rows = language_model.score(spark.createDataFrame([(only, "a b")], "doc_id long, text string")).collect()
+    assert [(r["train_tokens"], r["base_score"], r["score"]) for r in rows] == [(0, 0.0, 0.0)]
+
+
+def test_language_model_weights():
     weights = language_model.learn([(3, 20, 40, 10), (3, 0, 60, 5), (0, 0, 0, 2)], 100)
-    assert np.allclose(weights.sum(axis=1), 1) and (weights > 0).all()
+    assert np.allclose(weights.sum(axis=1), 1) and (weights >= 0).all() and not weights[0, 0] and (weights[1:] > 0).all()
+
+
+def test_messages_grow_with_the_corpus():
+    """FAN messages at most for each chunk and merged batch, and few levels."""
+    assert [language_model.levels_of(n) for n in (0, 1, 256, 257, 65_536, 65_537)] == [1, 1, 1, 2, 2, 3]
 
 
 def test_packing_round_trips():
