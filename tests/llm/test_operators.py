@@ -480,12 +480,47 @@ def test_decontamination_odd_tables(spark, odd, empty):
     assert decontaminate.remove(odd, bench).columns == odd.columns
 
 
-def test_blocks_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
-    bench = spark.createDataFrame([(i, f"p{i} q{i} r{i} s{i} t{i} u{i}") for i in range(5)], "item_id long, text string")
+def test_plan_does_not_follow_the_benchmark(spark):
+    bench = lambda n: spark.createDataFrame([(i, f"p{i} q{i} r{i} s{i} t{i} u{i}") for i in range(n)], "item_id long, text string")
     docs = spark.createDataFrame([(i, f"x p{i} q{i} r{i} s{i} t{i} u{i} y") for i in range(5)], "doc_id long, text string")
-    assert [len(b.ids) for b in decontaminate.blocks(bench)] == [2, 2, 1]
-    assert {(r[0], r[1]) for r in decontaminate.find_items(docs, bench).collect()} == {(i, i) for i in range(5)}
+    assert {(r[0], r[1]) for r in decontaminate.find_items(docs, bench(5)).collect()} == {(i, i) for i in range(5)}
+    plans = [decontaminate.find_items(docs, bench(n))._jdf.queryExecution().optimizedPlan().toString() for n in (5, 3000)]
+    assert plans[0].count("MapInArrow") == plans[1].count("MapInArrow") == 1
+
+
+def exhaustive(items, texts, similarity=0.8):
+    """Every item against every text by plain dynamic programming."""
+    return {(d, k) for d, text in texts for k, item in enumerate(items) if edit_distance(item, text) <= decontaminate.edits(len(item), similarity)}
+
+
+def test_decontamination_against_exhaustive_search(spark):
+    """All edits that are allowed are used; long items are cut into pieces; a small vocabulary makes chance likenesses."""
+    rng = random.Random(11)
+    vocabulary = [f"w{int(rng.expovariate(1 / 80))}" for _ in range(2000)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (5, 6, 9, 10, 15, 20, 31, 33, 50, 90, 200) for _ in range(2)]
+    texts = []
+    for n in range(240):
+        part = list(items[n % len(items)])
+        for _ in range(decontaminate.edits(len(part), 0.8)):
+            i, move = rng.randrange(len(part)), rng.randrange(3)
+            part[i : i + (move < 2)] = [] if move == 0 else [rng.choice(vocabulary)]
+        texts.append((n, [rng.choice(vocabulary) for _ in range(rng.randrange(30))] + part + [rng.choice(vocabulary) for _ in range(rng.randrange(30))]))
+    truth = exhaustive(items, texts)
+    table = spark.createDataFrame([(d, " ".join(t)) for d, t in texts], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(table, bench).collect()}
+    assert got <= truth and len(truth) >= 200
+    assert len(got) >= 0.98 * len(truth)
+
+
+def test_templated_benchmark(spark):
+    """Thousands of items with one opening, and texts with that opening."""
+    opening = "which of the following statements about"
+    bench = spark.createDataFrame([(i, f"{opening} " + " ".join(f"k{i}x{j}" for j in range(14))) for i in range(5000)], "item_id long, text string")
+    texts = [(i, f"{opening} something else altogether that is in no list of questions anywhere " * 3) for i in range(40)]
+    texts += [(100 + i, f"see: {opening} " + " ".join(f"k{i}x{j}" for j in range(14))) for i in range(5)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {(r[0], r[1]) for r in decontaminate.find_items(docs, bench).collect()} == {(100 + i, i) for i in range(5)}
 
 
 # Near duplicates ------------------------------------------------------------------------------------------------------
