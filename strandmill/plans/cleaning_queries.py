@@ -12,7 +12,7 @@ from ..operators import coverage as V
 from ..operators import graph as G
 from ..sources import fastx, sinks
 from .catalog import register
-from .relational_queries import SEGMENTS, SQL_SPARSE, sparse
+from .relational_queries import BREAKS, SEGMENTS, SQL_SPARSE, sparse
 from .stand_ins import SQL_HALF, SQL_INTERVALS, bounds, intervals, reads, table
 
 
@@ -89,12 +89,35 @@ def a_level_depths(spark, d):
     return V.level_depths(rated(spark, d), bounds(spark, d), ["ref"], block=10_000_000)
 
 
-@register("a_adaptive_identity")
+GRID = [round(1.0 - i * 0.0005, 6) for i in range(31)]
+
+
+@register(
+    "a_adaptive_identity",
+    f"""WITH {SQL_INTERVALS}, b AS (SELECT ref, max(stop) + 500 AS length FROM iv GROUP BY ref),
+    r AS (SELECT l_suppkey AS ref, l_partkey AS start, l_partkey + l_quantity::BIGINT AS stop, [0.985, 0.991, 0.998, 1.0][l_orderkey % 4 + 1]::DOUBLE AS identity FROM lineitem),
+    lv AS (SELECT ref, length, unnest([{', '.join(f'{x!r}e0' for x in GRID)}]) AS level FROM b), p AS (SELECT ref, level, unnest(range(10, length - 9, 10)) AS pos FROM lv),
+    e AS (SELECT ref, level, pos, sum(s) AS s FROM (SELECT r.ref, level, start AS pos, 1 AS s FROM r JOIN lv ON r.ref = lv.ref AND identity >= level UNION ALL SELECT r.ref, level, stop, -1 FROM r JOIN lv ON r.ref = lv.ref AND identity >= level) GROUP BY 1, 2, 3),
+    c AS (SELECT ref, level, pos, sum(s) OVER (PARTITION BY ref, level ORDER BY pos) AS depth FROM e),
+    q AS (SELECT p.ref, p.level, p.pos, coalesce(c.depth, 0) AS depth FROM p ASOF LEFT JOIN c ON p.ref = c.ref AND p.level = c.level AND p.pos >= c.pos),
+    k AS (SELECT ref, level, greatest(ceil(pos / 500), 1) AS block, min(depth) AS low, count(*) AS n, max(pos) AS last FROM q GROUP BY 1, 2, 3),
+    w AS (SELECT ref, level, low, sum(CASE WHEN last >= block * 500 THEN 50 ELSE n END) AS w FROM k GROUP BY 1, 2, 3),
+    v AS (SELECT ref, level, low, sum(w) OVER (PARTITION BY ref, level ORDER BY low) AS run, sum(w) OVER (PARTITION BY ref, level) AS total FROM w),
+    m AS (SELECT lv.ref, lv.level, coalesce(min(low), 0)::BIGINT AS depth FROM lv LEFT JOIN v ON lv.ref = v.ref AND lv.level = v.level AND run > total // 2 GROUP BY 1, 2),
+    s AS (SELECT *, lag(depth) OVER d AS before, lag(level) OVER d AS above FROM m WINDOW d AS (PARTITION BY ref ORDER BY level DESC)),
+    o AS (SELECT ref, max(depth) FILTER (WHERE level = 0.99e0) AS dp1, max(depth) FILTER (WHERE level = 0.9975e0) AS dp2, max(depth) FILTER (WHERE level = 1e0) AS dp3, max(above) FILTER (WHERE depth <= before * 1.5 AND depth >= 5) AS found FROM s GROUP BY 1)
+    SELECT ref, dp1, dp2, dp3, CASE WHEN dp1 > 3 * dp3 AND dp3 < 5 AND dp1 >= 5 THEN coalesce(found, 0.985e0) * 100 ELSE 100e0 END AS threshold_pct FROM o""",
+)
 def a_adaptive_identity(spark, d):
     return V.adaptive_identity(rated(spark, d), bounds(spark, d), ["ref"], lowest=0.985, block=500)
 
 
-@register("c_split_segments")
+@register(
+    "c_split_segments",
+    f"""WITH {BREAKS}, cut AS (SELECT ref, start AS a, stop AS b FROM br UNION ALL SELECT ref, length, length FROM bounds),
+    g AS (SELECT ref, coalesce(max(b) OVER (PARTITION BY ref ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, a AS stop FROM cut)
+    SELECT ref, start, stop, row_number() OVER (PARTITION BY ref ORDER BY start) - 1 AS part FROM g WHERE stop - start > 100""",
+)
 def c_split_segments(spark, d):
     return V.split_segments(intervals(spark, d), bounds(spark, d), ["ref"], least=100)
 

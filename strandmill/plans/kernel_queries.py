@@ -14,7 +14,7 @@ from ..operators import kmers as K
 from ..operators import seeding as J
 from ..operators.greedy import Edge, Graph
 from .catalog import register
-from .stand_ins import contigs, intervals, reads, table
+from .stand_ins import SQL_INTERVALS, SQL_READS, contigs, intervals, reads, table
 
 
 def shared_anchors(spark, d, k: int = 15):
@@ -53,7 +53,12 @@ def k_ani(spark, d):
     return found.select((-F.col("query") - 1).alias("query"), "ref", F.round("ani", 6).alias("ani"), F.round("af_query", 6).alias("af_query"), F.round("af_ref", 6).alias("af_ref"), "chains")
 
 
-@register("c_windows")
+@register(
+    "c_windows",
+    f"""WITH {SQL_INTERVALS}, n AS (SELECT ref, max(stop) AS length FROM iv GROUP BY 1), w AS (SELECT ref, start, stop, length, unnest(range(0, (length + 99) // 100)) AS w FROM iv JOIN n USING (ref)),
+    x AS (SELECT ref, start, w, greatest(100 * w, start) AS a, least(least(100 * (w + 1), length) + 20, stop) AS b, least(100 * (w + 1), length, stop) AS e FROM w)
+    SELECT ref, start, w::INTEGER AS window, (b - a)::INTEGER AS bases FROM x WHERE a < e AND b > a""",
+)
 def c_windows(spark, d):
     """Windows that line items cut on their supplier's axis."""
     rows = intervals(spark, d).groupBy("ref").agg(F.max("stop").alias("length"))
@@ -122,7 +127,18 @@ def g_lax_cuts(spark, d):
     return order_graph(spark, d).groupBy("comp").applyInPandas(run, "comp long, rule string, edge_id long")
 
 
-@register("f_wang_hash")
+M64 = "18446744073709551616"
+
+
+@register(
+    "f_wang_hash",
+    f"""WITH a AS (SELECT o_orderkey, o_orderkey::HUGEINT AS x FROM orders), b AS (
+      SELECT o_orderkey, 0 AS kind, ({M64} - 1 - x + x * 2097152) % {M64} AS x FROM a UNION ALL SELECT o_orderkey, 1, {M64} - 1 - (x + x * 2097152) % {M64} FROM a),
+    c AS (SELECT o_orderkey, kind, xor(x, x // 16777216) * 265 % {M64} AS x FROM b), d AS (SELECT o_orderkey, kind, xor(x, x // 16384) * 21 % {M64} AS x FROM c),
+    e AS (SELECT o_orderkey, kind, xor(x, x // 268435456) AS x FROM d), f AS (SELECT o_orderkey, kind, x * 2147483649 % {M64} AS x FROM e),
+    g AS (SELECT o_orderkey, kind, (CASE WHEN x >= {M64} // 2 THEN x - {M64} ELSE x END)::BIGINT AS x FROM f)
+    SELECT o_orderkey, max(x) FILTER (WHERE kind = 0) AS hash, max(x) FILTER (WHERE kind = 1) AS variant, o_orderkey AS back FROM g GROUP BY o_orderkey""",
+)
 def f_wang_hash(spark, d):
     """Both 64-bit mixes of every order key, and the first one undone."""
 
@@ -135,7 +151,15 @@ def f_wang_hash(spark, d):
     return table(spark, d, "orders").select("o_orderkey").mapInPandas(run, "o_orderkey long, hash long, variant long, back long")
 
 
-@register("f_open_frames")
+@register(
+    "f_open_frames",
+    f"""WITH {SQL_READS}, s AS (SELECT id, 0 AS half, seq FROM reads UNION ALL SELECT id, 3, reverse(translate(seq, 'ACGT', 'TGCA')) FROM reads),
+    f AS (SELECT id, half + phase AS frame, regexp_extract_all(substr(seq, phase + 1), '...') AS codons FROM s, (SELECT unnest([0, 1, 2]) AS phase)),
+    p AS (SELECT id, frame, string_split(array_to_string(list_transform(codons, lambda c: substr('{S.AMINO}', (16 * strpos('TCAG', c[1]) + 4 * strpos('TCAG', c[2]) + strpos('TCAG', c[3]) - 20)::BIGINT, 1)), ''), '*') AS parts FROM f),
+    u AS (SELECT id, frame, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM p),
+    w AS (SELECT id, frame, length(part) AS n, coalesce(sum(length(part) + 1) OVER (PARTITION BY id, frame ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM u)
+    SELECT id, frame::INTEGER AS frame, first::INTEGER AS first, (first + n)::INTEGER AS last FROM w WHERE n >= 30""",
+)
 def f_open_frames(spark, d):
     def run(frames):
         for f in frames:
@@ -145,7 +169,7 @@ def f_open_frames(spark, d):
     return reads(spark, d).mapInPandas(run, "id long, frame int, first int, last int")
 
 
-@register("g_component_sizes")
+@register("g_component_sizes", "SELECT min(o_orderkey) AS component, count(*) AS nodes FROM orders GROUP BY o_custkey HAVING count(*) > 1")
 def g_component_sizes(spark, d):
     e = order_graph(spark, d)
     label = G.components(e.select("node1", "node2"))

@@ -78,9 +78,7 @@ def w_block_median_depth(spark, d):
     return I.block_depths(intervals(spark, d), bounds(spark, d), ["ref"], sampling=10, block=500)
 
 
-@register(
-    "w_breakpoints",
-    f"""WITH {SEGMENTS}, s AS (SELECT *, row_number() OVER w AS spot, count(*) OVER (PARTITION BY ref) AS n, lag(depth) OVER w AS b, lead(depth) OVER w AS a FROM seg JOIN bounds USING (ref) WINDOW w AS (PARTITION BY ref ORDER BY start)),
+BREAKS = f"""{SEGMENTS}, s AS (SELECT *, row_number() OVER w AS spot, count(*) OVER (PARTITION BY ref) AS n, lag(depth) OVER w AS b, lead(depth) OVER w AS a FROM seg JOIN bounds USING (ref) WINDOW w AS (PARTITION BY ref ORDER BY start)),
     x AS (SELECT s.*, coalesce(p.depth, 0) AS l2, coalesce(q.depth, 0) AS r2, coalesce(u.depth, 0) AS past, coalesce(v.depth, 0) AS before
       FROM s ASOF LEFT JOIN runs p ON s.ref = p.ref AND ((s.start - 200) // 5) * 5 >= p.start ASOF LEFT JOIN runs q ON s.ref = q.ref AND ((s.start + 200) // 5) * 5 >= q.start
       ASOF LEFT JOIN runs u ON s.ref = u.ref AND s.stop + 199 >= u.start ASOF LEFT JOIN runs v ON s.ref = v.ref AND s.start - 200 >= v.start WHERE n >= 3),
@@ -88,12 +86,17 @@ def w_block_median_depth(spark, d):
     z AS (SELECT ref, start, stop, depth, CASE WHEN b > 3 AND a > 3 AND depth <= 1 THEN 1 WHEN wide AND l2 > 3 AND r2 > 3 AND depth <= 1 THEN 2
       WHEN wide AND l2 > depth * 10 AND r2 > depth * 10 AND depth <= 2 THEN 3 WHEN wide AND l2 > depth * 25 AND r2 > depth * 25 AND depth <= 3 THEN 5
       WHEN (b > depth * 5 OR a > depth * 5) AND depth <= 1 THEN 6 WHEN (b > depth * 5 OR a > depth * 5) AND depth <= 2 THEN 7
-      WHEN (b > depth * 25 OR a > depth * 25) AND depth <= 3 THEN 8 END AS condition FROM y WHERE spot > 1 AND spot < n AND start > 200 AND start + 200 < length)
-    SELECT * FROM z WHERE condition IS NOT NULL
+      WHEN (b > depth * 25 OR a > depth * 25) AND depth <= 3 THEN 8 END AS condition FROM y WHERE spot > 1 AND spot < n AND start > 200 AND start + 200 < length),
+    br AS (SELECT * FROM z WHERE condition IS NOT NULL
     UNION ALL SELECT ref, 0, start, 0, -1 FROM y WHERE spot = 1 AND start > 200
     UNION ALL SELECT ref, start, stop, depth, -2 FROM y WHERE spot = 1 AND stop > 200 AND depth <= 1 AND (a > 3 OR (length > stop + 200 AND past > 3))
     UNION ALL SELECT ref, start, stop, 0, -3 FROM y WHERE spot = n AND start < length - 200 AND start >= 200 AND depth <= 1 AND (b > 3 OR before > 3)
-    UNION ALL SELECT ref, stop, length, depth, -4 FROM y WHERE spot = n AND stop + 200 < length""",
+    UNION ALL SELECT ref, stop, length, depth, -4 FROM y WHERE spot = n AND stop + 200 < length)"""
+
+
+@register(
+    "w_breakpoints",
+    f"WITH {BREAKS} SELECT * FROM br",
 )
 def w_breakpoints(spark, d):
     return I.breakpoints(intervals(spark, d), bounds(spark, d), ["ref"])
@@ -121,8 +124,9 @@ def seeds15(spark, d):
 
 @register(
     "j_minimizer_index",
-    f"""WITH {SQL_READS}, {sql_kmers('reads', 'km', 15, True)}, c AS (SELECT kmer, count(*) AS many FROM km GROUP BY 1), o AS (SELECT many, row_number() OVER (ORDER BY many DESC) - 1 AS i, count(*) OVER () AS n FROM c)
-    SELECT kmer, many FROM c WHERE many < (SELECT many FROM o WHERE i = n // 1000)""",
+    f"""WITH {SQL_READS}, {sql_kmers('reads', 'km', 15, True)}, c AS MATERIALIZED (SELECT kmer, count(*) AS many FROM km GROUP BY 1),
+    h AS (SELECT many, sum(count(*)) OVER (ORDER BY many DESC) AS run, sum(count(*)) OVER () AS n FROM c GROUP BY many)
+    SELECT kmer, many FROM c WHERE many < (SELECT max(many) FROM h WHERE run > n // 1000)""",
 )
 def j_minimizer_index(spark, d):
     index = J.seed_index(seeds15(spark, d)[0], share=1000, least_keys=0)

@@ -151,6 +151,17 @@ def f_syncmers(spark, d):
     return K.extract(reads(spark, d), 21, drop_palindromes=False, syncmers=11).groupBy("id").agg(F.count("*").alias("syncmers"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
+LOG_CHOOSE = "lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1)"
+
+
+def sql_fisher(source: str, key: str, a: str, b: str, c: str, d: str, out: str) -> str:
+    """CTEs that leave ``out`` (key, p): the two-sided exact test of a 2 x 2 table by summing all tables that are no likelier."""
+    n = f"({a} + {b} + {c} + {d})"
+    return f"""{out}_x AS (SELECT {key}, {a} AS seen, {a} + {b} AS k, {a} + {c} AS m, {n} AS n, unnest(range(greatest(0, {a} - {d}), least({a} + {b}, {a} + {c}) + 1)) AS x FROM {source}),
+{out}_p AS (SELECT {key}, seen, x, exp({LOG_CHOOSE.format('m', 'x')} + {LOG_CHOOSE.format('(n - m)', '(k - x)')} - ({LOG_CHOOSE.format('n', 'k')})) AS p FROM {out}_x),
+{out} AS (SELECT q.{key}, least(1.0, sum(q.p)) AS p FROM {out}_p q JOIN {out}_p s ON q.{key} = s.{key} AND s.x = s.seen WHERE q.p <= s.p * (1 + 1e-7) GROUP BY 1)"""
+
+
 K11 = f"WITH {SQL_READS}, {sql_kmers('reads', 'km', 11)}, c AS (SELECT kmer, split, substr(kmer, 6, 1) AS mid, count(*) FILTER (WHERE forward) AS n_forward, count(*) FILTER (WHERE NOT forward) AS n_reverse FROM km GROUP BY ALL)"
 
 
@@ -174,8 +185,8 @@ def a_high_freq_threshold(spark, d):
 
 @register(
     "a_high_freq_kmers",
-    K11 + """, t AS (SELECT n_forward + n_reverse AS n, row_number() OVER (ORDER BY n_forward + n_reverse) - 1 AS i, count(*) OVER () AS many FROM c)
-    SELECT kmer, n_forward + n_reverse AS n FROM c WHERE n_forward + n_reverse > (SELECT greatest(100, n) FROM t WHERE i = many - many // 1000 - 1)""",
+    K11.replace(", c AS (", ", c AS MATERIALIZED (") + """, t AS (SELECT n_forward + n_reverse AS n, sum(count(*)) OVER (ORDER BY n_forward + n_reverse) AS run, sum(count(*)) OVER () AS many FROM c GROUP BY 1)
+    SELECT kmer, n_forward + n_reverse AS n FROM c WHERE n_forward + n_reverse > (SELECT greatest(100, min(n)) FROM t WHERE run > many - many // 1000 - 1)""",
 )
 def a_high_freq_kmers(spark, d):
     counts = counts11(spark, d).withColumn("n", F.col("n_forward") + F.col("n_reverse"))
@@ -197,7 +208,16 @@ def a_snpmer_top2(spark, d):
     return pairs.select(split.alias("split"), letter("mid1").alias("mid1"), letter("mid2").alias("mid2"), "n1", "n2")
 
 
-@register("a_snpmers")
+@register(
+    "a_snpmers",
+    K11 + """, r AS (SELECT split, strpos('ACGT', mid) - 1 AS mid, n_forward AS f, n_reverse AS r, n_forward + n_reverse AS n, row_number() OVER (PARTITION BY split ORDER BY n_forward + n_reverse DESC, mid) AS k FROM c WHERE n_forward > 0 AND n_reverse > 0 AND n_forward + n_reverse > 2),
+    w AS (SELECT replace(x.split, '_', 'A') AS split, x.mid AS mid1, y.mid AS mid2, x.n AS n1, y.n AS n2, x.f AS f1, x.r AS r1, y.f AS f2, y.r AS r2 FROM r x JOIN r y ON x.split = y.split AND x.k = 1 AND y.k = 2),
+    i AS (SELECT split, n1, unnest(range(0, n2 + 1)) AS i FROM w WHERE n2 < n1),
+    e AS (SELECT split, 1 - sum(exp(lgamma(n1 + 1) - lgamma(i + 1) - lgamma(n1 - i + 1) + i * ln(0.025) + (n1 - i) * ln(0.975))) AS p FROM i GROUP BY 1),
+    t AS (SELECT w.* FROM w LEFT JOIN e USING (split) WHERE coalesce(p, 0) <= 0.05), """ + sql_fisher("t", "split", "f1", "r1", "f2", "r2", "g") + """,
+    o AS (SELECT t.*, g.p, CASE WHEN r1 * f2 = 0 THEN 'inf'::DOUBLE ELSE f1 * r2 / (r1 * f2) END AS odds FROM t JOIN g USING (split))
+    SELECT split, mid1, mid2, n1, n2, round(p, 6) AS p_strand FROM o WHERE odds <> 0 AND (p > 0.005 OR (odds > 1 / 1.5 AND odds < 1.5))""",
+)
 def a_snpmers(spark, d):
     found = K.snpmers(K.allele_pairs(K.solid(counts11(spark, d)), 11))
     return found.select(S.decode_kmer(F.col("split"), 11).alias("split"), "mid1", "mid2", "n1", "n2", F.round("p_strand", 6).alias("p_strand"))
@@ -258,7 +278,11 @@ def p_same_strain(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", lax.alias("same"), T.same_strain(shared, diff, shared, 11, 100.0, 0.0).alias("strict"))
 
 
-@register("p_fisher_exact")
+@register(
+    "p_fisher_exact",
+    "WITH t AS (SELECT l_suppkey, " + ", ".join(f"count(*) FILTER (WHERE l_returnflag = '{r}' AND l_linestatus = '{s}') AS {r}{s}" for r in "NR" for s in "OF")
+    + " FROM lineitem GROUP BY 1), " + sql_fisher("t", "l_suppkey", "NO", "NF", "RO", "RF", "f") + " SELECT l_suppkey, round(p, 6) AS p FROM f",
+)
 def p_fisher_exact(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(*[F.count_if((F.col("l_returnflag") == r) & (F.col("l_linestatus") == s)).alias(f"{r}{s}") for r in "NR" for s in "OF"])
     return rows.select("l_suppkey", F.round(T.fisher_exact("NO", "NF", "RO", "RF"), 6).alias("p"))
