@@ -117,7 +117,6 @@ def log_depth_distance(a: list[tuple[list[float], int]], b: list[tuple[list[floa
     """
     if not a or not b:
         return None
-    long, short = (a, b) if len(a) >= len(b) else (b, a)
 
     def quartiles(sample: list[tuple[list[float], int]], level: int) -> list[float]:
         rows = sorted((d[level], w) for d, w in sample)
@@ -131,7 +130,7 @@ def log_depth_distance(a: list[tuple[list[float], int]], b: list[tuple[list[floa
     low = math.log(least_depth + pseudocount)
     gaps = []
     for level in range(3):
-        x, y = quartiles(long, level), quartiles(short, level)
+        x, y = quartiles(a, level), quartiles(b, level)
         if level == 0 or x[1] >= low or y[1] >= low:
             upper, lower = (math.log((x[q] + pseudocount) / (y[q] + pseudocount)) for q in (2, 0))
             gaps.append(abs(x[1] - y[1]) + abs(upper - lower))

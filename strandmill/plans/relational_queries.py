@@ -11,6 +11,7 @@ from ..operators.tables import stored
 from ..operators import intervals as I
 from ..operators import kmers as K
 from ..operators import seeding as J
+from . import catalog
 from .catalog import register
 from .stand_ins import SQL_BOUNDS, SQL_CONTIGS, SQL_EDGES, SQL_HALF, SQL_INTERVALS, SQL_READS, bounds, contigs, edges, intervals, reads, sql_kmers, table
 
@@ -202,6 +203,14 @@ MARKERS = f"""{SQL_READS}, {sql_kmers('reads', 'km', 21, True)}, h AS (SELECT DI
   scr AS (SELECT ref, query, shared, x.n AS ref_markers, y.n AS query_markers FROM tri JOIN sz x ON ref = x.id JOIN sz y ON query = y.id WHERE shared > greatest(least(x.n, y.n) * pow(0.9, 21), 1))"""
 
 
+CUT = """m AS (SELECT m0.* FROM m0 JOIN mc USING (marker) WHERE many < (SELECT many FROM mo WHERE i = n // 1000))"""
+
+
+def every_marker(name: str) -> None:
+    """The query ``name`` again under its own key, with SQL that leaves no marker out, as the operator does."""
+    register(f"{name}_all_markers", catalog.oracle_sql()[name].replace(CUT, "m AS (SELECT * FROM m0)"))(catalog.queries()[name])
+
+
 def screened(spark, d):
     return J.marker_screen(stored(ani.markers(reads(spark, d), 21, 20), "markers"))
 
@@ -432,3 +441,7 @@ def u_set_diff(spark, d):
 def u_intersect_markers(spark, d):
     r, c = seeds15(spark, d)
     return c.select("kmer").intersect(r.select("kmer")).select(S.decode_kmer(F.col("kmer"), 15).alias("kmer"))
+
+
+for _name in ("j_triangle", "k_pair_identity", "k_dereplicate", "s_triangle_sink", "s_best_hits"):
+    every_marker(_name)

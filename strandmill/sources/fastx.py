@@ -1,17 +1,27 @@
-"""FASTA and FASTQ: scan with a vectorised record parser, and text sinks."""
+"""FASTA and FASTQ: a splitting scan, and text sinks.
+
+Spark's line reader splits plain and bzip2 files and streams gzip ones, so a
+file may be of any size.  Each split gives the records that are whole in it;
+what is left at its start and end is joined by file and place.
+"""
 
 from __future__ import annotations
 
 import bz2
 import gzip
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-RECORD = "file string, at long, id string, seq string, qual string"
+from ..operators.tables import stored
+
+RECORD = "file string, at long, id string, seq string, qual string, rest string, head boolean"
 BATCH = 2000
+FASTA_NAMES = re.compile(r"\.(fa|fasta|fna|ffn|fas)(\.gz|\.bz2)?$", re.I)
+FASTQ_NAMES = re.compile(r"\.(fq|fastq)(\.gz|\.bz2)?$", re.I)
 
 
 def inflate(raw: bytes) -> bytes:
@@ -54,31 +64,109 @@ def records(raw: bytes) -> Iterator[tuple[str, str, str | None]]:
         yield name, seq, qual
 
 
+class _Split:
+    """Lines of one split of a file: whole records as they come, and the lines before the first and after the last."""
+
+    def __init__(self, name: str, start: int) -> None:
+        self.name, self.start, self.made = name, start, 0
+        self.kind = ">" if FASTA_NAMES.search(name) else "@" if FASTQ_NAMES.search(name) else None
+        self.lines: list[str] = []
+        self.head: list[str] | None = [] if start else None
+
+    def synced(self) -> bool:
+        """Whether ``lines`` begins with a header; what is before it goes to ``head``."""
+        if self.head is None:
+            return True
+        line = self.lines[-1]
+        if self.kind == ">":
+            if line[:1] != ">":
+                return False
+            at = len(self.lines) - 1
+        elif self.kind == "@" and len(self.lines) >= 4 and self.lines[-4][:1] == "@" and self.lines[-2][:1] == "+" and len(self.lines[-3]) == len(line):
+            at = len(self.lines) - 4
+        else:
+            return False
+        self.kept_head, self.head, self.lines = self.lines[:at], None, self.lines[at:]
+        return True
+
+    kept_head: list[str] = []
+
+    def add(self, line: str) -> Iterator[tuple[str, str, str | None]]:
+        line = line.rstrip("\r")
+        if not self.lines and not line.strip():
+            return
+        self.lines.append(line)
+        if not self.synced():
+            return
+        first = self.lines[0][:1]
+        if first == ">":
+            if len(self.lines) > 1 and line[:1] == ">":
+                done, self.lines = self.lines[:-1], [line]
+                yield from records("\n".join(done).encode())
+        elif first != "@":
+            raise ValueError(f"not a FASTA or FASTQ header: {self.lines[0][:40]!r}")
+        elif len(self.lines) >= 4:
+            plus = next((i for i in range(1, len(self.lines)) if self.lines[i][:1] == "+"), None)
+            if plus and sum(map(len, self.lines[plus + 1 :])) >= sum(len(x.strip()) for x in self.lines[1:plus]):
+                done, self.lines = self.lines, []
+                yield from records("\n".join(done).encode())
+
+
 def read_fastx(spark: SparkSession, *paths: str, least: int = 0) -> DataFrame:
     """(file, at, id, seq, qual) of all records of at least ``least`` bases.
 
-    One task reads one file, since compressed files cannot be split; files are
-    read by Spark, so any store it knows will do.
+    ``at`` grows with a record's place in its file.  Plain and bzip2 files are
+    split, gzip files streamed; a task holds a record, not a file.  The parsed
+    records are a stored table, which later steps read column by column.
+    Records that span splits are put together from the ends of those splits.
+    That is also how multi-line FASTQ, and files whose name does not tell the
+    format, are read beyond their first split: rightly, but in one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(name: str, rows: list) -> pa.RecordBatch:
-            ids, seqs, quals, ats = zip(*rows) if rows else ((), (), (), ())
-            return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(ats, pa.int64()), pa.array(ids, pa.string()), pa.array(seqs, pa.string()), pa.array(quals, pa.string())], names=["file", "at", "id", "seq", "qual"])
+        names = [f.split()[0] for f in RECORD.split(", ")]
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
+
+        def out(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+        split, rows = None, []
+
+        def ends(s: _Split) -> list[tuple]:
+            head, tail = (s.lines, []) if s.head is not None else (s.kept_head, s.lines)
+            pieces = [("\n".join(x), h) for x, h in ((head, True), (tail, False)) if any(y.strip() for y in x)]
+            return [(s.name, s.start + s.made, None, None, None, text, h) for text, h in pieces]
 
         for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content")):
-                rows = []
-                for at, (name, seq, qual) in enumerate(records(content.as_py())):
-                    if len(seq) >= least:
-                        rows.append((name, seq, qual, at))
-                    if len(rows) == BATCH:
-                        yield out(path.as_py(), rows)
-                        rows = []
-                yield out(path.as_py(), rows)
-
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    return files.mapInArrow(run, RECORD)
+            for line, name, start in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "start"))):
+                if split is None or (split.name, split.start) != (name, start):
+                    if split is not None:
+                        rows += ends(split)
+                    split = _Split(name, start)
+                for record in split.add(line):
+                    if len(record[1]) >= least:
+                        rows.append((name, start + split.made, *record, None, None))
+                    split.made += 1
+                if len(rows) >= BATCH:
+                    yield out(rows)
+                    rows = []
+        yield out(rows + (ends(split) if split is not None else []))
+
+    lines = spark.read.text(list(paths)).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("start"))
+    parsed = stored(lines.mapInArrow(run, RECORD), "records")
+    # A tail begins a record that the heads after it go on with; splits are in order of their place, a head before its split's tail.
+    along = Window.partitionBy("file").orderBy("at", F.desc("head")).rowsBetween(Window.unboundedPreceding, 0)
+    ends_ = parsed.where("rest IS NOT NULL").withColumn("number", F.count_if(~F.col("head")).over(along))
+    order = F.array_sort(F.collect_list(F.struct("at", (~F.col("head")).alias("tail"), "rest")))
+    whole = ends_.groupBy("file", "number").agg(F.min("at").alias("at"), order.alias("pieces")).select("file", "at", F.array_join(F.transform("pieces", lambda p: p["rest"]), "\n").alias("text"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(name, at, *r) for name, at, text in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "text"))) for r in records(text.encode()) if len(r[1]) >= least]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["file", "at", "id", "seq", "qual"])
+
+    joined = whole.mapInArrow(finish, "file string, at long, id string, seq string, qual string")
+    return parsed.where("rest IS NULL").select("file", "at", "id", "seq", "qual").union(joined)
 
 
 def phred(qual: Column) -> Column:

@@ -26,6 +26,32 @@ def test_fastx(spark, tmp_path, pack, ending):
     assert {r["id"] for r in fastx.read_fastx(spark, str(tmp_path), least=5).collect()} == {"r2", "a"}
 
 
+@pytest.mark.parametrize("kind", ["fa", "fq", "wrapped"])
+def test_fastx_in_many_splits(spark, tmp_path, kind):
+    """Records across split ends, qualities that look like headers, and a sequence longer than a split."""
+    rng = np.random.default_rng(3)
+    text = []
+    for i in range(120):
+        seq = "".join(rng.choice(list("ACGT"), int(rng.integers(1, 90)) if i != 50 else 1500))
+        qual = "".join(rng.choice(list("@>+I"), len(seq)))
+        if kind == "fa":
+            text.append(f">r{i} x\n" + "\n".join(seq[j : j + 30] for j in range(0, len(seq), 30)))
+        elif kind == "fq":
+            text.append(f"@r{i}\n{seq}\n+\n{qual}")
+        else:
+            text.append(f"@r{i}\n{seq[:40]}\n{seq[40:]}\n+\n{'I' * len(seq[:40])}\n{'I' * len(seq[40:])}")
+    raw = "\n".join(text) + "\n"
+    (tmp_path / f"x.{'fa' if kind == 'fa' else 'fq'}").write_text(raw)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500" if kind != "wrapped" else "100000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = fastx.read_fastx(spark, str(tmp_path)).orderBy("at").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r["id"], r["seq"], r["qual"]) for r in got] == list(fastx.records(raw.encode()))
+
+
 def test_bad_fastx():
     assert list(fastx.records(b"")) == []
     for bad in (b"ACGT\n", b"@a\nAC\n", b"@a\nACGT\n+\nII\n"):
