@@ -114,12 +114,14 @@ def chain_pairs(anchors: DataFrame, match: int, least_score: int = 0, **options)
     return enough.groupBy("query", "ref").applyInArrow(run, schema)
 
 
-def dovetails(overlaps: DataFrame, hang: Column, least: int = 500) -> DataFrame:
+def dovetails(overlaps: DataFrame, hang: Column, least: int = 500, single: bool = False) -> DataFrame:
     """Overlaps as dovetails: hangs, overlap lengths and the side of each read that is joined.
 
     ``overlaps`` has start1, end1, start2, end2, len1, len2, reverse.  Read 1 is
     left by its end if the alignment reaches that, by its start otherwise; the
     other read must be reached at the matching end.  ``hang`` bounds both hangs.
+    Reads that lie close to each other may fit both ways; ``single`` keeps the
+    way with the smaller hangs.
     """
     s1, e1, s2, e2 = (F.col(c) for c in ("start1", "end1", "start2", "end2"))
     l1, l2 = F.col("len1"), F.col("len2")
@@ -132,6 +134,8 @@ def dovetails(overlaps: DataFrame, hang: Column, least: int = 500) -> DataFrame:
         F.struct(F.lit(False).alias("forward1"), reverse.alias("forward2"), back["hang1"].alias("hang1"), back["hang2"].alias("hang2")),
     )
     fit = F.filter(options, lambda o: (o["hang1"] <= hang) & (o["hang2"] <= hang))
+    if single:
+        fit = F.slice(F.array_sort(fit, lambda a, b: (a["hang1"] + a["hang2"] - b["hang1"] - b["hang2"]).cast("int")), 1, 1)
     rows = overlaps.withColumn("overlap1_len", e1 - s1).withColumn("overlap2_len", e2 - s2).where(F.greatest("overlap1_len", "overlap2_len") >= least)
     return rows.withColumn("_o", F.explode(fit)).select("*", "_o.*").drop("_o")
 

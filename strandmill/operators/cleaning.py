@@ -70,12 +70,16 @@ def component_kernel(nodes: DataFrame, edges: DataFrame, kernel, schema: str) ->
     return n.union(e).groupBy("component").applyInPandas(run, f"component long, {schema}")
 
 
+def bubbles(sized: DataFrame, edges: DataFrame, longest: int = 50_000) -> DataFrame:
+    """(kind, removed): nodes and edges that popping the bubbles of every component takes out; ``sized`` has unique_length."""
+    return component_kernel(sized, edges, lambda g: [(k, int(x)) for k, xs in zip(("node", "edge"), g.bubbles(longest)) for x in sorted(xs)], "kind string, removed long")
+
+
 def pop_bubbles(nodes: DataFrame, edges: DataFrame, longest: int = 50_000, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Bubbles are popped until there is none (each round removes an edge), or in the stated ``rounds``."""
     for _ in count() if rounds is None else range(rounds):
         sized = nodes.join(G.unique_lengths(nodes, edges), "node")
-        found = component_kernel(sized, edges, lambda g: [(k, int(x)) for k, xs in zip(("node", "edge"), g.bubbles(longest)) for x in sorted(xs)], "kind string, removed long")
-        found = stored(found, "bubbles")
+        found = stored(bubbles(sized, edges, longest), "bubbles")
         if not found.limit(1).count():
             break
         cut = found.where("kind = 'edge'").select(F.col("removed").alias("edge_id"))

@@ -181,9 +181,9 @@ def fasta_lines(df: DataFrame, header: Column, seq: Column, width: int | None =
     return df.select(F.concat(F.lit(">"), header, F.lit("\n"), body).alias("value"))
 
 
-def write_fasta(df: DataFrame, path: str, header: Column, seq: Column, compression: str | None = None) -> None:
-    lines = fasta_lines(df, header, seq)
-    (lines.write.option("compression", compression) if compression else lines.write).text(path)
+def write_fasta(df: DataFrame, path: str, header: Column, seq: Column, compression: str | None = None, mode: str = "errorifexists") -> None:
+    lines = fasta_lines(df, header, seq).write.mode(mode)
+    (lines.option("compression", compression) if compression else lines).text(path)
 
 
 def contig_header(name: str = "id", length: str = "length", circular: str = "circular", depth: str = "depth", duplicated: str = "duplicated", multiplicity: str = "multiplicity") -> Column:

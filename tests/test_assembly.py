@@ -57,6 +57,59 @@ def test_circular_genome_closes(spark):
     assert seq in truth * 2 or seq in (truth * 2).translate(FLIP)[::-1]
 
 
+def both_ways(seq):
+    return {seq, seq.translate(FLIP)[::-1]}
+
+
+def strain_reads(first, second, size=3000, step=400):
+    rows = []
+    for truth in (first, second):
+        for i, at in enumerate(range(0, len(truth) - size + 1, step)):
+            seq = truth[at : at + size]
+            rows.append((len(rows), seq if i % 2 else seq.translate(FLIP)[::-1]))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def strains():
+    first, rng = genome(9_000, 21)
+    second = list(first)
+    for at in range(120, 9_000, 250):
+        second[at] = {"A": "C", "C": "A", "G": "T", "T": "G"}[second[at]]
+    return first, "".join(second)
+
+
+def test_two_strains_give_two_contigs(spark, strains):
+    reads = spark.createDataFrame(strain_reads(*strains), "id long, seq string")
+    sites = assembly.allele_sites(reads, Config()).count()
+    assert sites > 0
+    contigs = assembly.assemble(reads).toPandas()
+    long = [c for c in contigs["seq"] if len(c) > 6000]
+    assert len(long) == 2
+    assert {next(i for i, t in enumerate(strains) if any(c in x for x in both_ways(t))) for c in long} == {0, 1}
+
+
+def test_a_contained_read_of_another_strain_stays(spark, strains):
+    rows = spark.createDataFrame([*strain_reads(*strains), (900, strains[1][1010:2510]), (901, strains[0][1010:2510])], "id long, seq string")
+    # Without the second strain's own reads its short read lies only within reads of the other strain.
+    reads = rows.where("id < 16 OR id >= 900")
+    config = Config()
+    chains = assembly.overlap_chains(reads, config)
+    alleles = assembly.read_alleles(reads, assembly.allele_sites(rows, config), config)
+    gone = {r["id"] for r in assembly.contained_reads(assembly.compared(chains, alleles), config).collect()}
+    assert gone == {901}
+
+
+def test_run_writes_and_resumes(spark, tmp_path):
+    truth, rng = genome(4_000, 5)
+    rows = [(f"r{i}", truth[at : at + 1500]) for i, at in enumerate(range(0, 2501, 250))]
+    (tmp_path / "reads.fa").write_text("".join(f">{n}\n{s}\n" for n, s in rows))
+    out = assembly.run(spark, str(tmp_path / "out"), str(tmp_path / "reads.fa")).collect()
+    assert len(out) == 1 and abs(len(out[0]["seq"]) - 4_000) < 40
+    (tmp_path / "reads.fa").unlink()
+    assert assembly.run(spark, str(tmp_path / "out")).collect() == out
+
+
 def test_polishing_repairs_errors(spark):
     truth, rng = genome(1_200, 9)
     noise = lambda s: "".join(c if rng.random() > 0.01 else rng.choice("ACGT") for c in s)
