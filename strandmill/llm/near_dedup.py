@@ -258,7 +258,7 @@ def placed_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     members = stored(spread.join(shared, "bucket").select("bucket", "node", "hub").distinct(), "members")
     codes = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int"))
     nodes = signed.where("node is not null").select("node", F.col("n_shingles").alias("n"), "sketch", codes.alias("codes"))
-    nodes = stored(nodes.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
+    nodes = stored(nodes.dropDuplicates(["node"]).join(members.select("node").distinct(), "node", "left_semi"), "nodes")
 
     sets = stored(full_sets(docs, nodes.select("node").join(classes, "node"), id_col, text_col, width), "sets")
 
