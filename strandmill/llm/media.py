@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import hot_keys, spread_join, stored
 from .text_arrays import slices, text_buffer
 
 WIDTH = 192
@@ -276,17 +276,20 @@ def media_facts(media: DataFrame) -> DataFrame:
     return packed.select("digest", "facts.*")
 
 
-def resolve(sequences: DataFrame, facts: DataFrame) -> DataFrame:
-    """One row for each part of (id, parts), in its position, with the facts of the payload that it refers to."""
+def resolve(sequences: DataFrame, facts: DataFrame, popular: DataFrame | None = None) -> DataFrame:
+    """One row for each part of (id, parts), in its position, with the facts of the payload that it refers to.
+
+    References to ``popular`` digests (see ``hot_keys``) are dealt in pieces.
+    """
     parts = sequences.select("id", F.explode("parts").alias("part")).select("id", "part.*")
     parts = parts.withColumn("digest", F.when(F.col("reference").startswith(SCHEME), F.unhex(F.substring("reference", len(SCHEME) + 1, 64))))
-    return parts.join(facts, "digest", "left")
+    return spread_join(parts, facts, "digest", popular, "id", "left")
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digest columns of every text as stored media, through page, parts and digest join."""
     kept = store_texts(docs, id_col, text_col)
-    found = resolve(interleave(kept, "doc_id", "html").withColumn("parts", F.filter("parts", lambda p: p["kind"] == "media")), media_facts(kept))
+    found = resolve(interleave(kept, "doc_id", "html").withColumn("parts", F.filter("parts", lambda p: p["kind"] == "media")), media_facts(kept), hot_keys(kept.groupBy("digest").count(), "digest"))
     return found.select(
         F.col("id").alias("doc_id"),
         F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long").alias("n_bytes"),
