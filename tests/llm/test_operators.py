@@ -137,6 +137,61 @@ def test_toxic_rows_are_rejected(spark, docs, labels):
     assert {r[0] for r in kept.select("doc_id").collect()} == {r[0] for r in toxicity.score(docs, model).where("predicted = 0").select("doc_id").collect()}
 
 
+def plain_trees(x, y, trees, depth, bins, rate=0.1, ridge=1.0, least=2.0):
+    """The same boosting by loops over rows, nodes, features and cuts; the margins of the training rows."""
+    margin = [math.log(y.mean() / (1 - y.mean()))] * len(y)
+    cuts = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1]).astype(np.float32).tolist())) for f in range(x.shape[1])]
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        grad, hess = [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p]
+        groups = [list(range(len(y)))]
+        for _ in range(depth):
+            following = []
+            for rows in groups:
+                total = (sum(grad[i] for i in rows), sum(hess[i] for i in rows))
+                best, choice = 1e-9, None
+                for f, own in enumerate(cuts):
+                    for c in own:
+                        left = [i for i in rows if x[i, f] <= c]
+                        g, h = sum(grad[i] for i in left), sum(hess[i] for i in left)
+                        if h < least or total[1] - h < least:
+                            continue
+                        gain = g * g / (h + ridge) + (total[0] - g) ** 2 / (total[1] - h + ridge) - total[0] ** 2 / (total[1] + ridge)
+                        if gain > best + 1e-12:
+                            best, choice = gain, (f, c)
+                go = (lambda i: x[i, choice[0]] <= choice[1]) if choice else (lambda i: True)
+                following += [[i for i in rows if go(i)], [i for i in rows if not go(i)]]
+            groups = following
+        for rows in groups:
+            step = -rate * sum(grad[i] for i in rows) / (sum(hess[i] for i in rows) + ridge)
+            for i in rows:
+                margin[i] += step
+    return np.array(margin)
+
+
+def test_trees_against_plain_loops():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(160, 4)).astype(np.float32)
+    y = ((x[:, 0] + x[:, 2] > 0.2) ^ (rng.random(160) < 0.1)).astype(float)
+    model = quality.fit(x, y, trees=6, depth=3, bins=8)
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-plain_trees(x, y, 6, 3, 8))), atol=1e-9)
+
+
+def test_statistics_against_plain_counts(docs):
+    texts = [r["text"] for r in docs.limit(60).collect()] + [None, "", "a", "One TWO two\n\ntwo 33"]
+    got = quality.statistics(pa.array(texts))
+    for row, text in zip(got, texts):
+        w, raw = words(text), (text or "").encode()
+        if not raw:
+            assert not row.any()
+            continue
+        n, pairs = max(len(w), 1), set(zip(w, w[1:]))
+        lines = [x for x in (text or "").split("\n") if x]
+        expected = {0: math.log1p(len(w)), 1: math.log1p(len(raw)), 2: np.mean([len(x.encode()) for x in w]) if w else 0, 5: sum(65 <= b <= 90 for b in raw) / len(raw), 14: len(set(w)) / n, 15: max(Counter(w).values(), default=0) / n, 16: (len(pairs) if len(w) > 1 else 1) / max(n - 1, 1), 17: 1 - len(set(lines)) / max(len(lines), 1)}
+        for k, value in expected.items():
+            assert row[k] == pytest.approx(value, rel=1e-5, abs=1e-6), (k, text[:40])
+
+
 def test_trees_learn_a_threshold():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 5)).astype(np.float32)
