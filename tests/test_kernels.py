@@ -14,6 +14,7 @@ from strandmill.operators import chaining as C
 from strandmill.operators import consensus as P
 from strandmill.operators import graph as G
 from strandmill.operators import intervals as I
+from strandmill.operators import tables
 from strandmill.operators.greedy import Edge, Graph
 
 
@@ -180,6 +181,27 @@ def test_bubble_keeps_the_deeper_branch():
     assert diamond().bubbles(10) == (set(), set())
 
 
+def test_a_circle_with_one_bubble_is_popped():
+    """Source and sink are one node: 1 leads to 2 or 3, and both lead back into 1 from its other side."""
+    edges = {0: Edge(0, (1, 2), (True, False), 500), 1: Edge(1, (1, 3), (True, False), 500), 2: Edge(2, (2, 1), (True, False), 500), 3: Edge(3, (3, 1), (True, False), 500)}
+    graph = Graph({1: 9, 2: 1, 3: 5}, {n: (float(d),) * 3 for n, d in ((1, 20), (2, 3), (3, 20))}, {1: 5000, 2: 900, 3: 900}, edges)
+    assert graph.bubble(1, True, 50_000) == (1, False, {2}, {0, 2})
+    assert graph.bubbles(50_000) == ({2}, {0, 2})
+    # Back to the side it left by: no bubble.
+    graph = Graph(graph.reads, graph.depths, graph.unique, edges | {3: Edge(3, (3, 1), (True, True), 500)})
+    assert graph.bubble(1, True, 50_000) is None
+
+
+def test_hot_keys_are_dealt_in_pieces(spark):
+    rows = spark.range(6000).selectExpr("id", "if(id < 4000, 7, id) AS k")
+    lookup = rows.groupBy("k").count().withColumn("v", F.col("k") * 10)
+    hot = tables.hot_keys(lookup.select("k", "count"), "k")
+    assert [(r["k"], r["_pieces"]) for r in hot.collect()] == [(7, 4)]
+    joined = tables.spread_join(rows, lookup.select("k", "v"), "k", hot, "id")
+    assert joined.count() == 6000 and joined.where("v <> k * 10").count() == 0
+    assert tables.hot_keys(rows.where("id >= 4000").groupBy("k").count(), "k") is None
+
+
 def test_beam_prefers_alike_depth():
     weights = diamond(40.0).edge_weights(100_000, 3)
     assert weights[0] > weights[1]
