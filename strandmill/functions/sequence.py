@@ -148,6 +148,11 @@ def cigar_lengths(cigar: Column) -> Column:
     return F.struct(total("M=XD").alias("ref"), total("M=XI").alias("query"))
 
 
+def cigar_interval(cigar: Column, stop: Column) -> Column:
+    """(start, stop) on the reference of a CIGAR that ends before ``stop``; starts before 0 are 0."""
+    return F.struct(F.greatest(stop - cigar_lengths(cigar)["ref"], F.lit(0)).alias("start"), stop.alias("stop"))
+
+
 def cigar_string(cigar: Column) -> Column:
     return F.array_join(F.transform(cigar, lambda x: F.concat(x["len"].cast("string"), x["op"])), "")
 

@@ -64,6 +64,24 @@ def same_strain(shared_minimizers: Column, diff: Column, shared: Column, c: int,
     return by_identity | (binomial_tail(diff + shared, diff, F.lit(error)) > 0.05)
 
 
+#: Differences must stay under 2, or under one for every 200 shared markers if that is more; the tolerated
+#: divergence is 0.00005 and 0.0025 more for every 200 shared markers, the latter up to 0.005 (fixed values).
+SPARED_LEAST, SPARED_EVERY, SPARED_BASE, SPARED_SLOPE, SPARED_MOST = 2, 200, 0.00005, 0.0025, 0.005
+
+
+def rescued(diff: Column, shared: Column, shared_minimizers: Column, c: int) -> Column:
+    """Whether an edge is spared by a cut: fewer marker differences than its shared markers allow, and identity above what they tolerate."""
+    slack = SPARED_BASE + F.least(shared / SPARED_EVERY * SPARED_SLOPE, F.lit(SPARED_MOST))
+    few = diff < F.greatest(F.floor(shared / SPARED_EVERY), F.lit(SPARED_LEAST))
+    return few & (identity_estimate(diff, shared_minimizers, c) > 1.0 - slack)
+
+
+def passes_quality(estimate: Column, least: float = 90.0, inclusive: bool = False) -> Column:
+    """Whether a read's estimated identity in percent passes: above ``least`` to be indexed, at least it to be asked; reads without one pass."""
+    enough = estimate >= least if inclusive else estimate > least
+    return estimate.isNull() | enough
+
+
 def coverage_ratio(a: Column, b: Column, pseudocount: float = 3.0) -> Column:
     return (F.greatest(a, b) + pseudocount) / (F.least(a, b) + pseudocount)
 
@@ -89,6 +107,14 @@ def weighted_quantile(df: DataFrame, group: list[str], value: str, weight: str,
     return ranked.where(F.col("_run") >= q * F.col("_all")).groupBy(*group).agg(F.min(value).alias(name))
 
 
+def weighted_quantile_levels(df: DataFrame, group: list[str], values: str, weight: str, q: float, name: str = "quantile") -> DataFrame:
+    """The weighted quantile of every position of an array column, as an array."""
+    each = df.select(*group, F.posexplode(values).alias("_level", "_value"), F.col(weight).alias("_weight"))
+    found = weighted_quantile(each, [*group, "_level"], "_value", "_weight", q, "_q")
+    ordered = F.array_sort(F.collect_list(F.struct("_level", "_q")))
+    return found.groupBy(*group).agg(F.transform(ordered, lambda x: x["_q"]).alias(name))
+
+
 def nx(df: DataFrame, group: list[str], length: str, fractions: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
     """Largest length with at least a fraction of all bases in sequences as long; equal lengths are summed first."""
     summed = df.groupBy(*group, length).agg(F.sum(length).alias("_w"))

@@ -122,3 +122,10 @@ def best_hits(pairs: DataFrame, n: int) -> DataFrame:
     """The n references of highest identity for each query."""
     order = Window.partitionBy("query").orderBy(F.desc("ani"), "ref")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def swaps_roles(median_ref: Column, median_query: Column, seeds_ref: Column, seeds_query: Column, name_ref: Column, name_query: Column) -> Column:
+    """Whether query and reference change places: the side of more seeds x median contig length (300 kb at most) is the reference, ties by name."""
+    weigh = lambda seeds, median: seeds * F.least(median, F.lit(300_000.0))
+    ref, query = weigh(seeds_ref, median_ref), weigh(seeds_query, median_query)
+    return (query > ref) | ((query == ref) & (name_query > name_ref))

@@ -9,9 +9,10 @@ Label propagation is iterative and checkpoints every round.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import coverage_ratio_levels
 from .tables import forget, hot_keys, spread_join, stored
 
 
@@ -193,3 +194,10 @@ def passes_abundance(reads: str = "reads", singleton: float = 3.0, secondary: fl
     """Contigs to keep: not single reads of low depth, not two reads of depth 1 unless circular, not under an absolute depth."""
     low = F.when(F.col(reads) == 1, (F.col("dp1") <= singleton) | (F.col("dp3") <= singleton)).when((F.col(reads) <= 2) & ~F.col("circular"), F.col("dp1") <= secondary).otherwise(False)
     return ~low if absolute is None else ~low & (F.col("dp1") >= absolute)
+
+
+def coverage_safe(half: DataFrame, limit: float) -> DataFrame:
+    """Half-edges (node, side, edge_id, depth, other_depth: depths at the three levels) whose coverage ratio is under ``limit`` times the side's smallest."""
+    smallest = F.min("ratio").over(Window.partitionBy("node", "side"))
+    rated = half.withColumn("ratio", coverage_ratio_levels(F.col("depth"), F.col("other_depth")))
+    return rated.withColumn("_least", smallest).where(F.col("ratio") / F.col("_least") < limit).drop("_least")

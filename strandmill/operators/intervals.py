@@ -72,6 +72,19 @@ def gaps(intervals: DataFrame, bounds: DataFrame, keys: list[str], fuzz: int = 2
     return inner.union(left).union(right)
 
 
+def gap_chimeras(intervals: DataFrame, bounds: DataFrame, keys: list[str], fuzz: int = 200, sampling: int = 5) -> DataFrame:
+    """(keys, start, stop, condition): inner gaps at least ``fuzz`` from both ends, by the depth ``fuzz`` off on either side.
+
+    1 if both sides are deeper than 3, else 6 if one is deeper than 5, else 0.  Depths are read at multiples of ``sampling``.
+    """
+    snap = lambda c: (F.floor(c / sampling) * sampling).cast("long")
+    inner = gaps(intervals, bounds, keys, fuzz).where("kind = 'inner'").join(bounds.select(*keys, "length"), keys)
+    inner = inner.where((F.col("start") >= fuzz) & (F.col("stop") + fuzz < F.col("length")))
+    sides = inner.select(*keys, "start", "stop", F.explode(F.array(snap(F.col("start") - fuzz), snap(F.col("stop") + fuzz))).alias("pos"))
+    seen = sides.join(depth_at_points(intervals, sides, keys), [*keys, "pos"]).groupBy(*keys, "start", "stop").agg(F.min("depth").alias("low"), F.max("depth").alias("high"))
+    return seen.select(*keys, "start", "stop", F.when(F.col("low") > 3, 1).when(F.col("high") > 5, 6).otherwise(0).alias("condition"))
+
+
 def block_depths(intervals: DataFrame, bounds: DataFrame, keys: list[str], sampling: int = 10, block: int = 50_000) -> DataFrame:
     """(keys, min_depth, median_depth): over blocks of sampled depths, the upper medians of the blocks' least and upper-median depths.
 

@@ -135,3 +135,10 @@ def best_overlaps(overlaps: DataFrame) -> DataFrame:
     sides = sides.withColumn("agree", F.min(crossed).over(pair) == F.max(crossed).over(pair))
     sides = sides.withColumn("place", F.row_number().over(pair.orderBy(F.desc("score"), F.desc("forward1"))))
     return sides.where("agree OR place = 1").drop("agree", "place")
+
+
+def informative(seeds: DataFrame, frequent: DataFrame, most: int = 500) -> DataFrame:
+    """Seeds (id, kmer, ...) that occur at most ``most`` times in their read and are not among the ``frequent`` (kmer)."""
+    own = Window.partitionBy("id", "kmer")
+    few = seeds.withColumn("_own", F.count("*").over(own)).where(F.col("_own") <= most).drop("_own")
+    return few.join(frequent.select("kmer"), "kmer", "left_anti")

@@ -33,4 +33,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["k_dereplicate"](spark, sf_dir)
 
 
-from . import cleaning_queries, kernel_queries, relational_queries, sequence_queries  # noqa: E402,F401  registers
+from . import cleaning_queries, kernel_queries, relational_queries, report_queries, sequence_queries  # noqa: E402,F401  registers
