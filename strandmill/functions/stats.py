@@ -161,3 +161,14 @@ def log_depth_distance(a: list[tuple[list[float], int]], b: list[tuple[list[floa
             upper, lower = (math.log((x[q] + pseudocount) / (y[q] + pseudocount)) for q in (2, 0))
             gaps.append(abs(x[1] - y[1]) + abs(upper - lower))
     return 3.0 * min(gaps)
+
+
+def block_stats(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, n, mid, most, spread): count, median, largest and interquartile range of each group."""
+    q = lambda p: F.percentile(value, F.lit(p))
+    return df.groupBy(*group).agg(F.count("*").alias("n"), q(0.5).alias("mid"), F.max(value).alias("most"), (q(0.75) - q(0.25)).alias("spread"))
+
+
+def pooled(value: str, along: Window, width: int = 5) -> Column:
+    """The least value among the ``width`` rows around a row in the order of ``along``."""
+    return F.min(value).over(along.rowsBetween(-(width // 2), width // 2))

@@ -9,7 +9,7 @@ Label propagation is iterative and checkpoints every round.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import coverage_ratio_levels
@@ -201,3 +201,24 @@ def coverage_safe(half: DataFrame, limit: float) -> DataFrame:
     smallest = F.min("ratio").over(Window.partitionBy("node", "side"))
     rated = half.withColumn("ratio", coverage_ratio_levels(F.col("depth"), F.col("other_depth")))
     return rated.withColumn("_least", smallest).where(F.col("ratio") / F.col("_least") < limit).drop("_least")
+
+
+def passes_output(reads: Column, links: Column, least_reads: int, least_links: int = 1) -> Column:
+    """Whether a contig is written: it has enough reads or enough links to others."""
+    return (reads >= least_reads) | (links >= least_links)
+
+
+def numbered(overlaps: DataFrame) -> DataFrame:
+    """Overlaps (read_i, read_j, overlap1_len, overlap2_len, hang1, hang2, ...) with edge_id from 0: longest first, hangs counting against, then by reads.
+
+    Rows are range-sorted and stored; an id is a row's place in its partition plus the rows of the partitions
+    before, so no task sees all rows.  Equal rows get ids in any order.
+    """
+    order = [F.col("hang1") + F.col("hang2") - F.col("overlap1_len") - F.col("overlap2_len"), F.col("read_i"), F.col("read_j")]
+    placed = stored(overlaps.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.col("_at") - F.shiftleft("_part", 33)
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("edge_id", F.col("_start") + place).drop("_at", "_part", "_start")

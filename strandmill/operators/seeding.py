@@ -142,3 +142,20 @@ def informative(seeds: DataFrame, frequent: DataFrame, most: int = 500) -> DataF
     own = Window.partitionBy("id", "kmer")
     few = seeds.withColumn("_own", F.count("*").over(own)).where(F.col("_own") <= most).drop("_own")
     return few.join(frequent.select("kmer"), "kmer", "left_anti")
+
+
+def multiplicities(seeds: DataFrame) -> DataFrame:
+    """(id, kmer, n): how often each k-mer occurs in its read."""
+    return seeds.groupBy("id", "kmer").agg(F.count("*").alias("n"))
+
+
+def seed_poor(seeds: Column, bases: Column, c: int) -> Column:
+    """Whether a read has under a twentieth of the seeds that one in ``c`` bases would give, rounded down at both steps."""
+    return seeds < F.floor(F.floor(bases / c) / 20)
+
+
+def dovetails(anchors: DataFrame, lengths: DataFrame, reach: int = 350) -> DataFrame:
+    """(query, ref, possible): whether some anchor is within ``reach`` of an end of the query, and some within it of an end of the reference."""
+    near = lambda pos, size: F.bool_or((F.col(pos) <= reach) | (F.col(pos) >= F.col(size) - reach))
+    sized = anchors.join(lengths.toDF("query", "query_len"), "query").join(lengths.toDF("ref", "ref_len"), "ref")
+    return sized.groupBy("query", "ref").agg((near("pos1", "query_len") & near("pos2", "ref_len")).alias("possible"))

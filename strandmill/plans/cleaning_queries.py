@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import stats as T
 from ..functions.stats import bootstrap_interval
 from ..operators import cleaning as L
 from ..operators.tables import stored
@@ -18,8 +19,8 @@ from .stand_ins import SQL_HALF, SQL_INTERVALS, bounds, intervals, reads, table
 
 @register("f_quality_pool", "SELECT l_orderkey, l_linenumber, l_partkey, min(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS pooled FROM lineitem")
 def f_quality_pool(spark, d):
-    around = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey").rowsBetween(-2, 2)
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.min("l_quantity").over(around).alias("pooled"))
+    around = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.pooled("l_quantity", around).alias("pooled"))
 
 
 @register("p_dovetail", "SELECT l_suppkey, l_partkey % 50 AS other, bool_or(l_quantity * 40 <= 350) AND bool_or(l_partkey % 2000 >= 1650) AS possible FROM lineitem GROUP BY 1, 2")
@@ -56,7 +57,7 @@ def p_duplicate_status(spark, d):
 @register("p_unitig_output", "SELECT l_partkey, count(*) AS reads, count(DISTINCT l_suppkey) AS links FROM lineitem GROUP BY 1 HAVING NOT (count(*) < 25 AND count(DISTINCT l_suppkey) < 20)")
 def p_unitig_output(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("reads"), F.countDistinct("l_suppkey").alias("links"))
-    return rows.where("NOT (reads < 25 AND links < 20)")
+    return rows.where(G.passes_output(F.col("reads"), F.col("links"), 25, 20))
 
 
 @register(
@@ -135,8 +136,8 @@ def j_contig_containment(spark, d):
 
 @register("a_block_stats", "SELECT l_suppkey AS block, count(*) AS n, median(l_quantity) AS mid, max(l_quantity) AS most, round(quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25), 6) AS spread FROM lineitem GROUP BY 1")
 def a_block_stats(spark, d):
-    q = lambda p: F.percentile("l_quantity", F.lit(p))
-    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("block")).agg(F.count("*").alias("n"), q(0.5).alias("mid"), F.max("l_quantity").alias("most"), F.round(q(0.75) - q(0.25), 6).alias("spread"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("block"), "l_quantity")
+    return T.block_stats(rows, ["block"], "l_quantity").withColumn("spread", F.round("spread", 6))
 
 
 @register("a_component_stats", "SELECT min(o_orderkey) AS component, count(*) AS nodes, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS bases FROM orders GROUP BY o_custkey HAVING count(*) > 1")

@@ -190,3 +190,27 @@ def g_broken_edges(spark, d):
     moved = F.floor(e / 2) + e % 2 * 1_000_000 * F.floor(e % 10 / 5)
     nodes = table(spark, d, "orders").where("o_orderkey % 11 > 0").select(F.col("o_orderkey").alias("node"))
     return R.broken_edges(nodes, sparse(spark, d).select(moved.alias("edge_id"), "node1", "node2"))
+
+
+@register(
+    "p_dovetail_ends",
+    """WITH a AS (SELECT l_suppkey AS q, l_partkey % 50 AS r, floor(l_extendedprice)::BIGINT % 3000 AS p1, l_orderkey % 3000 AS p2 FROM lineitem)
+    SELECT q AS query, r AS ref, bool_or(p1 <= 350 OR p1 >= 1500 + q % 7 * 300 - 350) AND bool_or(p2 <= 350 OR p2 >= 1500 + r % 7 * 300 - 350) AS possible FROM a GROUP BY 1, 2""",
+)
+def p_dovetail_ends(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query"), (F.col("l_partkey") % 50).alias("ref"), (F.floor("l_extendedprice").cast("long") % 3000).alias("pos1"), (F.col("l_orderkey") % 3000).alias("pos2"))
+    ids = rows.select(F.col("query").alias("id")).union(rows.select("ref")).distinct()
+    return J.dovetails(rows, ids.select("id", (1500 + F.col("id") % 7 * 300).alias("length")))
+
+
+@register(
+    "o_overlap_ids",
+    """WITH o AS (SELECT l_orderkey AS read_i, l_partkey AS read_j, l_linenumber, l_quantity::BIGINT * 100 AS o1, l_quantity::BIGINT * 90 + l_suppkey AS o2, l_linenumber * 7 AS h1, l_suppkey % 350 AS h2 FROM lineitem),
+    u AS (SELECT read_i, read_j, min(h1 + h2 - o1 - o2) AS s FROM o GROUP BY 1, 2) SELECT read_i, read_j, row_number() OVER (ORDER BY s, read_i, read_j) - 1 AS edge_id FROM u""",
+)
+def o_overlap_ids(spark, d):
+    q = F.col("l_quantity").cast("long")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("read_i"), F.col("l_partkey").alias("read_j"), (q * 100).alias("overlap1_len"), (q * 90 + F.col("l_suppkey")).alias("overlap2_len"), (F.col("l_linenumber") * 7).alias("hang1"), (F.col("l_suppkey") % 350).alias("hang2"))
+    score = F.col("hang1") + F.col("hang2") - F.col("overlap1_len") - F.col("overlap2_len")
+    best = rows.groupBy("read_i", "read_j").agg(F.min_by(F.struct("overlap1_len", "overlap2_len", "hang1", "hang2"), score).alias("o"))
+    return G.numbered(best.select("read_i", "read_j", "o.*")).select("read_i", "read_j", "edge_id")

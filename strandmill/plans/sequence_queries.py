@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..functions import stats as T
 from ..operators import kmers as K
+from ..operators import seeding as J
 from .catalog import register
 from .stand_ins import SQL_CONTIGS, SQL_READS, contigs, reads, sql_kmers, table
 
@@ -236,7 +237,7 @@ def a_kmer_multiplicity(spark, d):
 
 @register("a_read_multiplicity", f"WITH {SQL_READS}, {sql_kmers('reads', 'km', 11)}, c AS (SELECT id, kmer, count(*) AS n FROM km GROUP BY 1, 2) SELECT id, max(n) AS most, count(*) AS kinds FROM c GROUP BY id")
 def a_read_multiplicity(spark, d):
-    each = K.extract(reads(spark, d), 11).groupBy("id", "kmer").agg(F.count("*").alias("n"))
+    each = J.multiplicities(K.extract(reads(spark, d), 11))
     return each.groupBy("id").agg(F.max("n").alias("most"), F.count("*").alias("kinds"))
 
 
@@ -250,7 +251,7 @@ def a_seed_density(spark, d):
     km = K.extract(src, 21, drop_palindromes=False)
     seeds = km.groupBy("id").agg(F.count_if(md5_hash(S.decode_kmer(F.col("kmer"), 21)) < (1 << 60) // 11).alias("seeds"))
     both = seeds.join(src.select("id", F.length("seq").alias("bases")), "id")
-    return both.agg(F.round(F.avg(F.col("seeds") / F.col("bases")), 6).alias("density"), F.count_if(F.expr("seeds < bases div 11 div 20")).alias("repetitive"))
+    return both.agg(F.round(F.avg(F.col("seeds") / F.col("bases")), 6).alias("density"), F.count_if(J.seed_poor(F.col("seeds"), F.col("bases"), 11)).alias("repetitive"))
 
 
 @register("p_identity_est", "SELECT l_orderkey, l_linenumber, round(1 - (l_partkey % 7) / (l_quantity * 11.0) / (1 + (l_partkey % 7) / (l_quantity * 11.0)), 6) AS identity FROM lineitem")
