@@ -92,8 +92,21 @@ def deltas(positions: Column) -> Column:
 
 
 def undeltas(steps: Column) -> Column:
-    """Inverse of ``deltas``."""
-    return F.transform(steps, lambda s, i: F.aggregate(F.slice(steps, 1, i + 1), F.lit(0).cast("long"), lambda a, b: a + b))
+    """Inverse of ``deltas``: running sums, by blocks of about the square root of the length, so that no step adds up a whole prefix."""
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, b: a + b)
+    # An array of one element binds its value, so that it is computed once and not for every element.
+    bind = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def sums(s: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(s))).cast("int"), F.lit(1))
+        last = F.floor(F.greatest(F.size(s) - 1, F.lit(0)) / width).cast("int")
+        each = lambda make: F.transform(F.sequence(F.lit(0), last), make)
+        blocks = each(lambda block: total(F.slice(s, block * width + 1, width)))
+        starts = lambda b: each(lambda block: total(F.slice(b, F.lit(1), block)))
+        place = lambda at, i: F.get(at, F.floor(i / width).cast("int")) + total(F.slice(s, i - i % width + 1, i % width + 1))
+        return bind(blocks, lambda b: bind(starts(b), lambda at: F.transform(s, lambda _, i: place(at, i))))
+
+    return bind(steps, sums)
 
 
 def boundary_pair(start: Column, stop: Column) -> Column:

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandmill.functions import sequence as S
 from strandmill.functions import stats as T
 from strandmill.operators import graph as G
 from strandmill.operators import intervals as I
@@ -85,3 +86,10 @@ def test_quantiles_of_levels_and_seed_rules(spark):
     seeds = spark.createDataFrame([(1, 7)] * 3 + [(1, 8), (2, 7), (2, 9)], "id long, kmer long")
     kept = J.informative(seeds, spark.createDataFrame([(9,)], "kmer long"), 2)
     assert sorted(map(tuple, kept.select("id", "kmer").collect())) == [(1, 8), (2, 7)]
+
+
+def test_running_sums_undo_deltas_at_every_length(spark):
+    rng = random.Random(8)
+    rows = [(n, sorted(rng.choices(range(9999), k=n))) for n in (0, 1, 2, 3, 4, 5, 8, 9, 10, 17, 100, 101, 1500)] + [(-1, None)]
+    steps = spark.createDataFrame(rows, "n long, p array<long>").select("n", S.deltas(F.col("p")).alias("s"))
+    assert {r.n: r.b for r in steps.select("n", S.undeltas(F.col("s")).alias("b")).collect()} == dict(rows)
