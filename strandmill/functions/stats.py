@@ -87,8 +87,9 @@ def coverage_ratio(a: Column, b: Column, pseudocount: float = 3.0) -> Column:
 
 
 def coverage_ratio_levels(a: Column, b: Column) -> Column:
-    """Mean ratio over the three identity levels of two arrays."""
-    return sum((0.333 * coverage_ratio(F.element_at(a, i), F.element_at(b, i)) for i in (1, 2, 3)), F.lit(0.0))
+    """Mean ratio over the three identity levels of two arrays; the weight is applied once to the sum, so that ratios of equal sums tie alike."""
+    first, second, third = (coverage_ratio(F.element_at(a, i), F.element_at(b, i)) for i in (1, 2, 3))
+    return 0.333 * (first + second + third)
 
 
 def poisson_kl_root(a: Column, b: Column) -> Column:

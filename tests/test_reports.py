@@ -93,3 +93,11 @@ def test_running_sums_undo_deltas_at_every_length(spark):
     rows = [(n, sorted(rng.choices(range(9999), k=n))) for n in (0, 1, 2, 3, 4, 5, 8, 9, 10, 17, 100, 101, 1500)] + [(-1, None)]
     steps = spark.createDataFrame(rows, "n long, p array<long>").select("n", S.deltas(F.col("p")).alias("s"))
     assert {r.n: r.b for r in steps.select("n", S.undeltas(F.col("s")).alias("b")).collect()} == dict(rows)
+
+
+def test_ratios_at_the_limit_follow_the_weighted_sum(spark):
+    depths = lambda n: [20 + n % 37, 10 + n % 37, n % 11]
+    rows = [(1, True, i, depths(124970), depths(n)) for i, n in enumerate((127678, 131856))]
+    half = spark.createDataFrame(rows, "node long, side boolean, edge_id long, depth array<long>, other_depth array<long>")
+    r = [0.333 * sum((max(a, b) + 3) / (min(a, b) + 3) for a, b in zip(x, y)) for *_, x, y in rows]
+    assert {e["edge_id"] for e in G.coverage_safe(half, 1.75).collect()} == {i for i in range(2) if r[i] / min(r) < 1.75}
