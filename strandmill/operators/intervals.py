@@ -6,6 +6,8 @@ sweep sees one row for each distinct endpoint of a reference.
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,33 @@ def grid(bounds: DataFrame, keys: list[str], step: int) -> DataFrame:
     return bounds.where("low <= high").select(*keys, F.explode(F.sequence("low", "high", F.lit(step))).alias("pos"))
 
 
+def depth_runs(intervals: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, stop, depth, low): stretches of one depth, 0 too, that cover low to high of every (keys, low, high), one row for each key.
+
+    The bounds are two more events of the sweep, so an axis costs as many rows
+    as it has endpoints, however long it is.  Rows without a key or a position
+    cover nothing.
+    """
+    ends = endpoints(intervals.na.drop(subset=keys), keys).where("pos IS NOT NULL AND step <> 0")
+    ends = ends.select(*keys, F.col("pos").cast("long").alias("pos"), "step", F.lit(0).alias("mark"), F.lit(None).cast("long").alias("low"))
+    low, high = F.col("low").cast("long"), F.col("high").cast("long")
+    sides = F.array(F.struct(low.alias("pos"), F.lit(1).alias("mark")), F.struct((high + 1).alias("pos"), F.lit(-1).alias("mark")))
+    marks = bounds.where("low <= high").select(*keys, low.alias("low"), F.explode(sides).alias("e")).select(*keys, "e.pos", F.lit(0).cast("long").alias("step"), "e.mark", "low")
+    along = Window.partitionBy(*keys).orderBy("pos")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    swept = ends.union(marks).select(
+        *keys, F.col("pos").alias("start"), F.lead("pos").over(along).alias("stop"), F.sum("step").over(upto).alias("depth"), F.sum("mark").over(upto).alias("inside"), F.last("low", True).over(upto).alias("low")
+    )
+    return swept.where("inside > 0 AND stop > start").drop("inside")
+
+
+def depth_on_grid(intervals: DataFrame, bounds: DataFrame, keys: list[str], step: int) -> DataFrame:
+    """(keys, pos, depth) at the points of ``grid``: every stretch of one depth is unfolded into its points."""
+    first = F.col("low") + F.ceil((F.col("start") - F.col("low")) / step) * step
+    runs = depth_runs(intervals, bounds, keys).withColumn("first", first.cast("long")).where("first < stop")
+    return runs.select(*keys, F.explode(F.sequence("first", F.col("stop") - 1, F.lit(step).cast("long"))).alias("pos"), "depth")
+
+
 def stabbing_counts(intervals: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
     """``queries`` (keys, low, high) with how many intervals they overlap.
 
@@ -93,20 +122,31 @@ def block_depths(intervals: DataFrame, bounds: DataFrame, keys: list[str], sampl
     without an interval have 0.
     """
     ends = bounds.select(*keys, F.lit(sampling).cast("long").alias("low"), (F.col("length") - sampling).alias("high"))
-    depths = depth_at_points(intervals, grid(ends, keys, sampling), keys)
-    placed = depths.withColumn("block", F.greatest(F.ceil(F.col("pos") / block), F.lit(1)))
+    runs = depth_runs(intervals, ends, keys).withColumn("k1", F.ceil(F.col("start") / sampling)).withColumn("k2", F.floor((F.col("stop") - 1) / sampling)).where("k1 <= k2")
+    # Points are numbered; a stretch is taken apart into its first and last block and, as one row, the whole blocks between.
+    holder = lambda k: F.greatest(F.ceil(k * sampling / block), F.lit(1).cast("long"))
+    upto = lambda b: F.floor(b * block / sampling)
+    closing = sampling // gcd(sampling, block)
+    full = lambda b: F.floor(b / closing)
+    k1, k2, b1, b2 = F.col("k1"), F.col("k2"), F.col("b1"), F.col("b2")
+    between = upto(b2 - 1) - upto(b1) - (full(b2 - 1) - full(b1)) * (1 if block % sampling else 0)
+    nothing = F.lit(None).cast("long")
+    piece = lambda b, n, last, w: F.struct(b.alias("block"), n.alias("n"), last.alias("last"), w.alias("w"))
+    pieces = F.when(b1 == b2, F.array(piece(b1, k2 - k1 + 1, k2, nothing))).otherwise(
+        F.array(piece(b1, upto(b1) - k1 + 1, upto(b1), nothing), piece(b2, k2 - upto(b2 - 1), k2, nothing), piece(-b2, between, nothing, between))
+    )
+    parts = runs.withColumn("b1", holder(k1)).withColumn("b2", holder(k2)).select(*keys, "depth", F.explode(pieces).alias("p")).select(*keys, "depth", "p.*").where("n > 0")
+    counted = parts.groupBy(*keys, "block", "depth").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.max("w").alias("w"))
     inside = Window.partitionBy(*keys, "block")
-    ranked = placed.withColumn("n", F.count("*").over(inside)).withColumn("at", F.row_number().over(inside.orderBy("depth")) - 1)
-    blocks = ranked.groupBy(*keys, "block").agg(F.min("depth").alias("low"), F.max(F.when(F.col("at") == F.floor(F.col("n") / 2), F.col("depth"))).alias("mid"), F.max("n").alias("n"), F.max("pos").alias("last"))
-    weighted = blocks.withColumn("w", F.when(F.col("last") >= F.col("block") * block, F.lit(block // sampling)).otherwise(F.col("n")).cast("long"))
-
-    def upper_median(value: str, name: str) -> DataFrame:
-        summed = weighted.groupBy(*keys, value).agg(F.sum("w").alias("w"))
-        up = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        ranked = summed.withColumn("run", F.sum("w").over(up)).withColumn("total", F.sum("w").over(Window.partitionBy(*keys)))
-        return ranked.where("run > floor(total / 2)").groupBy(*keys).agg(F.min(value).alias(name))
-
-    found = upper_median("low", "min_depth").join(upper_median("mid", "median_depth"), keys)
+    ranked = counted.withColumn("run", F.sum("n").over(inside.orderBy("depth").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(inside))
+    middle = F.min(F.when(F.col("run") > F.floor(F.col("total") / 2), F.col("depth")))
+    blocks = ranked.groupBy(*keys, "block").agg(F.min("depth").alias("low"), middle.alias("mid"), F.max("total").alias("n"), F.max("last").alias("last"), F.max("w").alias("w"))
+    weight = F.coalesce("w", F.when(F.col("last") * sampling >= F.col("block") * block, F.lit(block // sampling)).otherwise(F.col("n"))).cast("long")
+    both = F.array(F.struct(F.lit("min").alias("name"), F.col("low").alias("value")), F.struct(F.lit("median").alias("name"), F.col("mid").alias("value")))
+    summed = blocks.select(*keys, weight.alias("w"), F.explode(both).alias("v")).groupBy(*keys, "v.name", "v.value").agg(F.sum("w").alias("w"))
+    named = Window.partitionBy(*keys, "name")
+    medians = summed.withColumn("run", F.sum("w").over(named.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("w").over(named)).where("run > floor(total / 2)")
+    found = medians.groupBy(*keys).agg(*[F.min(F.when(F.col("name") == name, F.col("value"))).alias(f"{name}_depth") for name in ("min", "median")])
     return bounds.select(*keys).join(found, keys, "left").na.fill(0, ["min_depth", "median_depth"])
 
 

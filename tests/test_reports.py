@@ -101,3 +101,32 @@ def test_ratios_at_the_limit_follow_the_weighted_sum(spark):
     half = spark.createDataFrame(rows, "node long, side boolean, edge_id long, depth array<long>, other_depth array<long>")
     r = [0.333 * sum((max(a, b) + 3) / (min(a, b) + 3) for a, b in zip(x, y)) for *_, x, y in rows]
     assert {e["edge_id"] for e in G.coverage_safe(half, 1.75).collect()} == {i for i in range(2) if r[i] / min(r) < 1.75}
+
+
+def plain_depth(iv, at):
+    return sum(a <= at < b for a, b in iv)
+
+
+@pytest.mark.parametrize(("sampling", "block"), [(10, 50), (7, 30), (10, 1000)])
+def test_block_depths_equal_those_of_every_point(spark, sampling, block):
+    rng = random.Random(sampling * block)
+    iv = {r: [(a, a + rng.randint(0, 90)) for a in (rng.randint(-20, 400) for _ in range(12))] for r in (1, 2)} | {3: []}
+    length = {1: 433, 2: 300, 3: 60}
+    rows = spark.createDataFrame([(r, *x) for r, xs in iv.items() for x in xs], "ref int, start int, stop int")
+    got = I.block_depths(rows, spark.createDataFrame(list(length.items()), "ref int, length int"), ["ref"], sampling, block)
+    for r in got.collect():
+        blocks = {}
+        for pos in range(sampling, length[r["ref"]] - sampling + 1, sampling):
+            blocks.setdefault(max(1, -(-pos // block)), []).append((pos, plain_depth(iv[r["ref"]], pos)))
+        low, mid = [], []
+        for b, points in blocks.items():
+            depths, w = sorted(d for _, d in points), block // sampling if points[-1][0] >= b * block else len(points)
+            low += [depths[0]] * w
+            mid += [depths[len(depths) // 2]] * w
+        assert (r["min_depth"], r["median_depth"]) == (sorted(low)[len(low) // 2], sorted(mid)[len(mid) // 2])
+
+
+def test_block_depths_cost_no_row_for_each_point_of_a_long_axis(spark):
+    iv = spark.createDataFrame([(1, 10**11, 5 * 10**11), (1, 0, 9 * 10**11)], "ref int, start long, stop long")
+    ends = spark.createDataFrame([(1, 10**12)], "ref int, length long")
+    assert [tuple(r) for r in I.block_depths(iv, ends, ["ref"]).collect()] == [(1, 1, 1)]
