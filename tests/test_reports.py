@@ -130,3 +130,18 @@ def test_block_depths_cost_no_row_for_each_point_of_a_long_axis(spark):
     iv = spark.createDataFrame([(1, 10**11, 5 * 10**11), (1, 0, 9 * 10**11)], "ref int, start long, stop long")
     ends = spark.createDataFrame([(1, 10**12)], "ref int, length long")
     assert [tuple(r) for r in I.block_depths(iv, ends, ["ref"]).collect()] == [(1, 1, 1)]
+
+
+def test_depth_on_a_grid_equals_depth_at_its_points(spark):
+    rng = random.Random(5)
+    iv = spark.createDataFrame([(r, a, a + rng.randint(0, 60)) for r in (1, 2, 4) for a in (rng.randint(-30, 300) for _ in range(15))], "ref int, start int, stop int")
+    ends = spark.createDataFrame([(1, 0, 301), (2, 7, 120), (3, 0, 50), (4, 9, 8)], "ref int, low long, high long")
+    rows = lambda df: sorted((r["ref"], r["pos"], r["depth"] or 0) for r in df.collect())
+    assert rows(I.depth_on_grid(iv, ends, ["ref"], 25)) == rows(I.depth_at_points(iv, I.grid(ends, ["ref"], 25), ["ref"]))
+
+
+def test_positions_and_keys_that_are_null_cover_nothing(spark):
+    iv = spark.createDataFrame([(1, 0, 10), (1, None, None), (1, 5, None), (None, 0, 50)], "ref int, start int, stop int")
+    ends = spark.createDataFrame([(1, 0, 20), (None, 0, 20)], "ref int, low long, high long")
+    got = {(r["ref"], r["pos"]): r["depth"] for r in I.depth_on_grid(iv, ends, ["ref"], 10).collect()}
+    assert got == {(1, 0): 1, (1, 10): 1, (1, 20): 1, (None, 0): 0, (None, 10): 0, (None, 20): 0}
