@@ -14,12 +14,24 @@ LEVELS = (0.99, 0.9975, 1.0)
 def level_depths(intervals: DataFrame, bounds: DataFrame, keys: list[str], levels: tuple[float, ...] = LEVELS, sampling: int = 10, block: int = 50_000) -> DataFrame:
     """(keys, level, min_depth, median_depth): block depths of the intervals with at least each identity.
 
-    All levels are swept at once: an interval is repeated for each level that it reaches.
+    All levels are swept at once: an interval counts at the highest level that it
+    reaches and is repeated for each level below that some interval reaches as
+    its highest.  A level that is nobody's highest has the intervals, so the
+    depths, of the next such level above, and none if there is none.
     """
-    marks = F.array(*[F.lit(x) for x in levels])
-    rows = intervals.withColumn("level", F.explode(F.filter(marks, lambda x: F.col("identity") >= x)))
-    every = bounds.withColumn("level", F.explode(marks))
-    return block_depths(rows, every, [*keys, "level"], sampling, block)
+    highest = F.array_max(F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: F.col("identity") >= x))
+    rows = intervals.withColumn("level", highest).where("level IS NOT NULL")
+    reached = sorted(r["level"] for r in rows.select("level").distinct().collect())
+    alike = {x: [y for y in levels if min((z for z in reached if z >= y), default=None) == x] for x in [None, *reached]}
+    each = lambda xs: F.explode(F.array(*[F.lit(float(x)) for x in xs]))
+    zero = F.lit(0).cast("long")
+    found = [bounds.select(*keys, each(alike[None]).alias("level"), zero.alias("min_depth"), zero.alias("median_depth"))] if alike[None] else []
+    if reached:
+        marks = F.array(*[F.lit(x) for x in reached])
+        swept = block_depths(rows.withColumn("level", F.explode(F.filter(marks, lambda x: x <= F.col("level")))), bounds.withColumn("level", F.explode(marks)), [*keys, "level"], sampling, block)
+        names = F.coalesce(*[F.when(F.col("level") == x, F.array(*[F.lit(float(y)) for y in alike[x]])) for x in reached])
+        found.append(swept.select(*keys, F.explode(names).alias("level"), "min_depth", "median_depth"))
+    return found[0].union(found[1]) if len(found) > 1 else found[0]
 
 
 def adaptive_identity(intervals: DataFrame, bounds: DataFrame, keys: list[str], step: float = 0.0005, lowest: float = 0.95, least: float = 5.0, growth: float = 1.5, sampling: int = 10, block: int = 50_000) -> DataFrame:
@@ -33,13 +45,15 @@ def adaptive_identity(intervals: DataFrame, bounds: DataFrame, keys: list[str],
     """
     n = round((1.0 - lowest) / step)
     grid = [round(1.0 - i * step, 6) for i in range(n + 1)]
-    depths = level_depths(intervals, bounds, keys, LEVELS, sampling, block).groupBy(*keys).pivot("level", list(LEVELS)).agg(F.first("min_depth"))
-    depths = depths.select(*keys, *[F.col(f"`{x}`").alias(f"dp{i + 1}") for i, x in enumerate(LEVELS)])
-    down = Window.partitionBy(*keys).orderBy(F.desc("level"))
-    steps = level_depths(intervals, bounds, keys, tuple(grid), sampling, block).withColumn("before", F.lag("min_depth").over(down)).withColumn("above", F.lag("level").over(down))
-    found = steps.where((F.col("min_depth") <= F.col("before") * growth) & (F.col("min_depth") >= least)).groupBy(*keys).agg(F.max("above").alias("found"))
+    on_grid = F.col("level").isin(grid)
+    down = Window.partitionBy(*keys, on_grid).orderBy(F.desc("level"))
+    steps = level_depths(intervals, bounds, keys, tuple({*grid, *LEVELS}), sampling, block)
+    steps = steps.withColumn("before", F.lag("min_depth").over(down)).withColumn("above", F.lag("level").over(down))
+    ends = on_grid & (F.col("min_depth") <= F.col("before") * growth) & (F.col("min_depth") >= least)
+    fixed = [F.max(F.when(F.col("level") == x, F.col("min_depth"))).alias(f"dp{i + 1}") for i, x in enumerate(LEVELS)]
+    depths = steps.groupBy(*keys).agg(*fixed, F.max(F.when(ends, F.col("above"))).alias("found"))
     thin = (F.col("dp1") > 3 * F.col("dp3")) & (F.col("dp3") < least) & (F.col("dp1") >= least)
-    return depths.join(found, keys, "left").select(*keys, "dp1", "dp2", "dp3", F.when(thin, F.coalesce("found", F.lit(lowest)) * 100).otherwise(100.0).alias("threshold_pct"))
+    return depths.select(*keys, "dp1", "dp2", "dp3", F.when(thin, F.coalesce("found", F.lit(lowest)) * 100).otherwise(100.0).alias("threshold_pct"))
 
 
 def split_segments(intervals: DataFrame, bounds: DataFrame, keys: list[str], least: int = 1000, hifi: bool = False) -> DataFrame:

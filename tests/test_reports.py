@@ -145,3 +145,15 @@ def test_positions_and_keys_that_are_null_cover_nothing(spark):
     ends = spark.createDataFrame([(1, 0, 20), (None, 0, 20)], "ref int, low long, high long")
     got = {(r["ref"], r["pos"]): r["depth"] for r in I.depth_on_grid(iv, ends, ["ref"], 10).collect()}
     assert got == {(1, 0): 1, (1, 10): 1, (1, 20): 1, (None, 0): 0, (None, 10): 0, (None, 20): 0}
+
+
+def test_levels_without_an_identity_of_their_own(spark):
+    from strandmill.operators import coverage as V
+
+    iv = spark.createDataFrame([(1, 0, 10**12, 0.995), (1, 0, 10**12, 0.985), (2, 0, 10**12, 0.5)], "ref int, start long, stop long, identity double")
+    ends = spark.createDataFrame([(1, 10**12), (2, 10**12), (3, 10**12)], "ref int, length long")
+    levels = (1.0, 0.995, 0.99, 0.985, 0.98)
+    got = {(r["ref"], r["level"]): (r["min_depth"], r["median_depth"]) for r in V.level_depths(iv, ends, ["ref"], levels).collect()}
+    assert got == {(r, x): (n, n) for r in (1, 2, 3) for x, n in zip(levels, (0, 1, 1, 2, 2) if r == 1 else (0,) * 5)}
+    bare = V.level_depths(iv.where("identity < 0.9"), ends, ["ref"], levels).collect()
+    assert len(bare) == 15 and {(r["min_depth"], r["median_depth"]) for r in bare} == {(0, 0)}
