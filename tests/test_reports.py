@@ -157,3 +157,12 @@ def test_levels_without_an_identity_of_their_own(spark):
     assert got == {(r, x): (n, n) for r in (1, 2, 3) for x, n in zip(levels, (0, 1, 1, 2, 2) if r == 1 else (0,) * 5)}
     bare = V.level_depths(iv.where("identity < 0.9"), ends, ["ref"], levels).collect()
     assert len(bare) == 15 and {(r["min_depth"], r["median_depth"]) for r in bare} == {(0, 0)}
+
+
+def test_identity_steps_on_a_long_axis(spark):
+    from strandmill.operators import coverage as V
+
+    rows = [(1, 0, 10**12, x) for x in [0.991] * 6 + [0.998] * 2 + [0.985]]
+    iv = spark.createDataFrame(rows, "ref int, start long, stop long, identity double")
+    got = V.adaptive_identity(iv, spark.createDataFrame([(1, 10**12)], "ref int, length long"), ["ref"], lowest=0.985)
+    assert [tuple(r) for r in got.collect()] == [(1, 8, 2, 0, 99.1)]
