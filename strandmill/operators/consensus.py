@@ -10,7 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import stored
@@ -159,8 +159,10 @@ def cut_windows(seq: str, cigar: list[tuple[str, int]], ref_start: int, length:
             at_ref += range(at_ref[-1] + 1, at_ref[-1] + n + 1)
             at_query += [at_query[-1]] * n
     refs, queries = np.array(at_ref), np.array(at_query)
-    out, begin = [], 0
-    for w, end in enumerate(breakpoints(length, width)):
+    ends = breakpoints(length, width)
+    first = max(0, min(ref_start // width, len(ends) - 1))
+    out, begin = [], first * width
+    for w, end in enumerate(ends[first : int(refs[-1]) // width + 1], first):
         a, b = max(begin, ref_start), min(end + overlap, int(refs[-1]))
         if a < min(end, int(refs[-1])) and b > a:
             out.append((w, int(queries[np.searchsorted(refs, a, side="right") - 1]) if a > ref_start else 0, int(queries[np.searchsorted(refs, b, side="right") - 1])))
@@ -168,6 +170,16 @@ def cut_windows(seq: str, cigar: list[tuple[str, int]], ref_start: int, length:
     return out
 
 
+def aligned_windows(start: Column, stop: Column, length: Column, width: int, overlap: int = 0) -> Column:
+    """``cut_windows`` of an alignment without gaps at start to stop, as an array of (window, begin, end); only windows it meets are formed."""
+    first = F.greatest(F.floor(start / width), F.lit(0).cast("long"))
+    last = F.ceil(F.least(stop, length) / width) - 1
+    end = lambda w: F.least((w + 1) * width, length)
+    span = lambda w: F.struct(w.cast("int").alias("window"), (F.greatest(w * width, start) - start).cast("int").alias("begin"), (F.least(end(w) + overlap, stop) - start).cast("int").alias("end"))
+    met = lambda w: F.greatest(w * width, start) < F.least(end(w), stop)
+    return F.when(first <= last, F.transform(F.filter(F.sequence(first, last), met), span)).otherwise(F.array().cast("array<struct<window:int,begin:int,end:int>>"))
+
+
 def poa(seqs: list[str], weights: list[list[int]] | None = None) -> str:
     """Partial-order consensus: sequences are aligned to a growing graph one by one; the heaviest path is returned.
 

@@ -166,3 +166,15 @@ def test_identity_steps_on_a_long_axis(spark):
     iv = spark.createDataFrame(rows, "ref int, start long, stop long, identity double")
     got = V.adaptive_identity(iv, spark.createDataFrame([(1, 10**12)], "ref int, length long"), ["ref"], lowest=0.985)
     assert [tuple(r) for r in got.collect()] == [(1, 8, 2, 0, 99.1)]
+
+
+def test_windows_without_gaps_equal_those_of_a_cigar(spark):
+    from strandmill.operators import consensus as P
+
+    rng = random.Random(7)
+    rows = [(s, s + rng.randint(0, 400), 1000) for s in (rng.randint(0, 990) for _ in range(60))] + [(900, 1000, 1000), (0, 0, 1000), (99, 201, 1000), (10**11 + 50, 10**11 + 250, 10**12)]
+    df = spark.createDataFrame(rows, "start long, stop long, length long")
+    cut = df.select("*", P.aligned_windows(F.col("start"), F.col("stop"), F.col("length"), 100, 20).alias("w")).collect()
+    short = [(r["start"], r["stop"], r["w"]) for r in cut if r["stop"] <= r["length"] == 1000]
+    assert len(short) > 20 and all([tuple(x) for x in w] == P.cut_windows("", [("M", b - a)], a, 1000, 100, 20) for a, b, w in short)
+    assert [tuple(x) for r in cut for x in r["w"] if r["length"] > 1000] == [(10**9, 0, 70), (10**9 + 1, 50, 170), (10**9 + 2, 150, 200)]
