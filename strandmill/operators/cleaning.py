@@ -6,11 +6,14 @@ nothing changes.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import graph as G
 from .greedy import Edge, Graph
@@ -29,12 +32,30 @@ def keep_tips_apart(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def remove_tips(nodes: DataFrame, edges: DataFrame, length: int = 20_000, reads: int = 3, rounds: int | None = None, keep: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Tips are taken off until there is none (each round takes some), or in the stated ``rounds``; ``keep`` isolates them instead."""
+    """Tips are taken off until there is none (each round takes some), or in the stated ``rounds``; ``keep`` isolates them instead.
+
+    The rule sees one component, so a round looks again only at those that the round before changed.
+    """
+    live, links, taken = nodes, edges, []
+    label = stored(G.components(edges), "labels")
     for _ in count() if rounds is None else range(rounds):
-        sized = nodes.join(G.unique_lengths(nodes, edges), "node")
-        gone = stored(G.tips(sized, edges, length, reads).join(G.half_edges(edges).select("node").distinct(), "node", "left_semi"), "tips")
+        sized = live.join(G.unique_lengths(live, links), "node")
+        half = G.half_edges(links.select("node1", "node2", "dir1", "dir2"))
+        gone = stored(G.tips(sized, links, length, reads, label).join(half.select("node").distinct(), "node", "left_semi"), "tips")
         if not gone.limit(1).count():
             break
+        taken.append(gone)
+        # A node of one neighbour leaves the rest of its component connected; where others go, components are found anew.
+        near = half.where("node <> other").join(gone, "node", "left_semi").groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b"))
+        changed = label.join(gone, "node", "left_semi").join(near.where("a < b").select("node", F.lit(True).alias("forked")), "node", "left").groupBy("component").agg(F.max("forked").alias("forked"))
+        left = stored(label.join(changed, "component").join(gone, "node", "left_anti").select("node", "component", "forked"), "labels")
+        live = live.join(left.select("node"), "node", "left_semi")
+        links = stored(links.join(left.select(F.col("node").alias("node1")), "node1", "left_semi").join(gone.toDF("node2"), "node2", "left_anti").select(*edges.columns), "links")
+        label, torn = left.where("forked IS NULL").select("node", "component"), left.where("forked").select(F.col("node").alias("node1"))
+        if torn.limit(1).count():
+            label = stored(label.union(G.components(links.join(torn, "node1", "left_semi"))), "labels")
+        live = stored(live, "nodes")
+    for gone in [reduce(DataFrame.union, taken)] if taken else []:
         nodes, edges = (nodes, keep_tips_apart(edges, gone)) if keep else without(nodes, edges, gone)
         nodes, edges = stored(nodes, "nodes"), stored(edges, "edges")
     return nodes, edges
@@ -50,49 +71,79 @@ def cut_z_edges(edges: DataFrame, threshold: float = 1.0) -> DataFrame:
     return edges.join(G.z_edges(edges, threshold), "edge_id", "left_anti")
 
 
-def component_kernel(nodes: DataFrame, edges: DataFrame, kernel, schema: str) -> DataFrame:
-    """Apply ``kernel`` (Graph -> rows) to every component of at least one edge; rows get the component first."""
-    label = G.components(edges)
+def component_kernel(nodes: DataFrame, edges: DataFrame, kernel, schema: str, label: DataFrame | None = None) -> DataFrame:
+    """Apply ``kernel`` (Graph -> rows) to every component of at least one edge; rows get the component first.
+
+    ``label`` (node, component) may be that of a graph with more edges, for
+    kernels to which components side by side mean nothing.  Rows come sorted by
+    component and are taken as a stream, so one component is held at a time and
+    small ones cost no frame each.
+    """
+    label = G.components(edges) if label is None else label
     n = nodes.join(label, "node").select("component", F.lit(True).alias("is_node"), F.struct("node", "reads", "depths", "unique_length").alias("n"), F.lit(None).cast("struct<edge_id:long,node1:long,node2:long,dir1:boolean,dir2:boolean,overlap:long,diff:long,minimizers:long>").alias("e"))
     e = edges.join(label.withColumnRenamed("node", "node1"), "node1").select(
         "component", F.lit(False).alias("is_node"), F.lit(None).cast(n.schema["n"].dataType).alias("n"),
         F.struct(F.col("edge_id").cast("long").alias("edge_id"), "node1", "node2", "dir1", "dir2", F.col("overlap").cast("long").alias("overlap"), F.col("diff_snpmers").cast("long").alias("diff"), F.col("shared_minimizers").cast("long").alias("minimizers")).alias("e"),
     )
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        at = [x for x in rows["n"] if x is not None]
-        graph = Graph(
-            {x["node"]: x["reads"] for x in at}, {x["node"]: tuple(x["depths"]) for x in at}, {x["node"]: x["unique_length"] for x in at},
-            {x["edge_id"]: Edge(x["edge_id"], (x["node1"], x["node2"]), (x["dir1"], x["dir2"]), x["overlap"], diff=x["diff"], minimizers=x["minimizers"]) for x in rows["e"] if x is not None},
-        )
-        return pd.DataFrame([(rows["component"].iloc[0], *r) for r in kernel(graph)], columns=["component", *[f.split()[0] for f in schema.split(", ")]])
+    names = ["component", *[f.split()[0] for f in schema.split(", ")]]
+    out = StructType.fromDDL(f"component long, {schema}")
 
-    return n.union(e).groupBy("component").applyInPandas(run, f"component long, {schema}")
+    def run(batches):
+        arrow = to_arrow_schema(out)
 
+        def solved(component, at: list, links: list) -> list[tuple]:
+            graph = Graph(
+                {x["node"]: x["reads"] for x in at}, {x["node"]: tuple(x["depths"]) for x in at}, {x["node"]: x["unique_length"] for x in at},
+                {x["edge_id"]: Edge(x["edge_id"], (x["node1"], x["node2"]), (x["dir1"], x["dir2"]), x["overlap"], diff=x["diff"], minimizers=x["minimizers"]) for x in links},
+            )
+            return [(component, *r) for r in kernel(graph)]
 
-def bubbles(sized: DataFrame, edges: DataFrame, longest: int = 50_000) -> DataFrame:
+        component, at, links = None, [], []
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                if row["component"] != component:
+                    done += solved(component, at, links) if at or links else []
+                    component, at, links = row["component"], [], []
+                (at if row["is_node"] else links).append(row["n"] if row["is_node"] else row["e"])
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in done], arrow)
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in (solved(component, at, links) if at or links else [])], arrow)
+
+    return n.union(e).repartition("component").sortWithinPartitions("component").mapInArrow(run, out)
+
+
+def bubbles(sized: DataFrame, edges: DataFrame, longest: int = 50_000, label: DataFrame | None = None) -> DataFrame:
     """(kind, removed): nodes and edges that popping the bubbles of every component takes out; ``sized`` has unique_length."""
-    return component_kernel(sized, edges, lambda g: [(k, int(x)) for k, xs in zip(("node", "edge"), g.bubbles(longest)) for x in sorted(xs)], "kind string, removed long")
+    return component_kernel(sized, edges, lambda g: [(k, int(x)) for k, xs in zip(("node", "edge"), g.bubbles(longest)) for x in sorted(xs)], "kind string, removed long", label)
 
 
-def pop_bubbles(nodes: DataFrame, edges: DataFrame, longest: int = 50_000, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Bubbles are popped until there is none (each round removes an edge), or in the stated ``rounds``."""
+def pop_bubbles(nodes: DataFrame, edges: DataFrame, longest: int = 50_000, rounds: int | None = None, label: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Bubbles are popped until there is none (each round removes an edge), or in the stated ``rounds``.
+
+    A bubble lies in one component, so the components of the first round
+    (``label``, if known) serve all; those without a bubble stay without and are
+    not searched again.
+    """
+    label = stored(G.components(edges), "labels") if label is None else label
     for _ in count() if rounds is None else range(rounds):
         sized = nodes.join(G.unique_lengths(nodes, edges), "node")
-        found = stored(bubbles(sized, edges, longest), "bubbles")
+        found = stored(bubbles(sized, edges, longest, label), "bubbles")
         if not found.limit(1).count():
             break
         cut = found.where("kind = 'edge'").select(F.col("removed").alias("edge_id"))
         nodes, edges = without(nodes, edges.join(cut, "edge_id", "left_anti"), found.where("kind = 'node'").select(F.col("removed").alias("node")))
         nodes, edges = stored(nodes, "nodes"), stored(edges, "edges")
+        label = stored(label.join(found.select("component").distinct(), "component", "left_semi").select("node", "component"), "labels")
     return nodes, edges
 
 
-def walk_and_cut(nodes: DataFrame, edges: DataFrame, ratio: float, longest: int = 300_000, depth: int = 10, temperature: float = 1.0, c: int = 11, backing: int = 20_000, spared: DataFrame | None = None) -> DataFrame:
+def walk_and_cut(nodes: DataFrame, edges: DataFrame, ratio: float, longest: int = 300_000, depth: int = 10, temperature: float = 1.0, c: int = 11, backing: int = 20_000, spared: DataFrame | None = None, label: DataFrame | None = None) -> DataFrame:
     """Edges whose walk weight is under ``ratio`` of the best on both their sides are cut, lightest first.
 
     Never a side's last edge, none whose cut leaves a side leading nowhere within
     ``backing`` bases, and none in ``spared`` (edge_id), such as strain repeats.
+    ``label`` (node, component) may be that of a graph with more edges.
     """
 
     def kernel(graph: Graph):
@@ -105,7 +156,7 @@ def walk_and_cut(nodes: DataFrame, edges: DataFrame, ratio: float, longest: int
         return [(int(e),) for e in sorted(cut)]
 
     sized = nodes.join(G.unique_lengths(nodes, edges), "node")
-    gone = component_kernel(sized, edges, kernel, "edge_id long").select("edge_id")
+    gone = component_kernel(sized, edges, kernel, "edge_id long", label).select("edge_id")
     if spared is not None:
         gone = gone.join(spared.select("edge_id"), "edge_id", "left_anti")
     return edges.join(gone, "edge_id", "left_anti")

@@ -106,12 +106,12 @@ def unique_lengths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(most, "node", "left").select("node", F.greatest(F.lit(0), F.col("length") - F.coalesce("most", F.lit(0))).alias("unique_length"))
 
 
-def tips(nodes: DataFrame, edges: DataFrame, length: int, reads: int) -> DataFrame:
+def tips(nodes: DataFrame, edges: DataFrame, length: int, reads: int, label: DataFrame | None = None) -> DataFrame:
     """(node): dead ends that are short or of few reads, against both the limits and a tenth of their component.
 
-    ``nodes`` has node, length, reads, unique_length.
+    ``nodes`` has node, length, reads, unique_length; ``label`` the components, if known.
     """
-    placed = nodes.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = nodes.join(components(edges) if label is None else label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("component").agg(F.sum("length").alias("all_length"), F.sum("reads").alias("all_reads"))
     ends = placed.join(degrees(edges), "node", "left").na.fill(0, ["in_degree", "out_degree"]).where("in_degree = 0 OR out_degree = 0").join(sizes, "component")
     tenth = lambda limit, total: F.least(F.lit(limit), F.floor(F.col(total) / 10))

@@ -201,6 +201,8 @@ def g_clean_graph(spark, d):
     e = order_graph(spark, d).select("edge_id", "node1", "node2", F.lit(True).alias("dir1"), F.lit(False).alias("dir2"), "overlap", F.col("diff").alias("diff_snpmers"), F.col("minimizers").alias("shared_minimizers"))
     k = F.col("node")
     nodes = G.half_edges(e).select("node").distinct().select("node", (1500 + k % 4000).alias("length"), (1 + k % 9).alias("reads"), F.array((3 + k % 20).cast("double"), (2 + k % 10).cast("double"), (1 + k % 5).cast("double")).alias("depths"))
-    nodes, e = L.pop_bubbles(nodes, stored(e, "edges"))
+    e = stored(e, "edges")
+    label = stored(G.components(e), "labels")
+    nodes, e = L.pop_bubbles(stored(nodes, "nodes"), e, label=label)
     nodes, e = L.remove_tips(nodes, e, 2000, 3)
-    return L.walk_and_cut(nodes, e, 0.25).select("edge_id", "node1", "node2")
+    return L.walk_and_cut(nodes, e, 0.25, label=label).select("edge_id", "node1", "node2")
